@@ -102,6 +102,19 @@ def _plain(value):
     raise ValueError("header must be JSON-compatible")
 
 
+def metadata_problem(metadata: dict) -> str | None:
+    """First broken metadata rule of a header; None when all hold."""
+    for key in TEXT_KEYS:
+        if key in metadata and not isinstance(metadata[key], str):
+            return f"RULE: {key} must be a string"
+    for key in LIST_KEYS:
+        entries = metadata.get(key, [])
+        if not isinstance(entries, list) or not all(isinstance(e, str) for e in entries):
+            return f"RULE: {key} must be a list of strings"
+    reserved = [key for key in RESERVED_KEYS if key in metadata]
+    return f"RULE: {reserved[0]} is reserved" if reserved else None
+
+
 def decode_header(text: str) -> tuple[str | None, str | None]:
     """(metadata as JSON, error) of one header text."""
     if yaml is None:
@@ -112,45 +125,30 @@ def decode_header(text: str) -> tuple[str | None, str | None]:
             return None, None
         if not isinstance(value, dict):
             return None, "NOT_A_MAPPING: header must be a mapping"
+        problem = metadata_problem(value)
+        if problem:
+            return None, problem
         return json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")), None
     except (yaml.YAMLError, ValueError, TypeError) as problem:
         return None, "INVALID_YAML: " + str(problem).split("\n")[0]
 
 
+def document_problem(path: str, content: str) -> str | None:
+    """Why one document (in a fold over writes) has a wrong header; None when it is right."""
+    parts = re.split(r"(?m)^---\r?(?:\n|\Z)", content, maxsplit=2)
+    if not path.lower().endswith(".md") or not re.match(r"---\r?(?:\n|\Z)", content):
+        return None
+    if len(parts) != 3:
+        return "UNCLOSED: header has no closing line"
+    return decode_header(parts[1])[1]
+
+
 @F.pandas_udf(T.StructType().add("metadata", "string").add("error", "string"))
 def _decode(texts: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if t is None else decode_header(t) for t in texts]
     return pd.DataFrame(rows, columns=["metadata", "error"])
 
 
-def metadata_problem(metadata: Column) -> Column:
-    """First broken metadata rule of a JSON mapping; null when all hold."""
-    data = F.try_parse_json(metadata)
-    keys = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
-    checks = [
-        F.when(
-            F.array_contains(keys, key)
-            & ~F.coalesce(F.schema_of_variant(F.try_variant_get(data, f"$.{key}", "variant")), F.lit("VOID")).isin("STRING"),
-            F.lit(f"{key} must be a string"),
-        )
-        for key in TEXT_KEYS
-    ]
-    checks += [
-        F.when(
-            F.array_contains(keys, key)
-            & ~F.coalesce(F.schema_of_variant(F.try_variant_get(data, f"$.{key}", "variant")), F.lit("VOID")).isin(
-                "ARRAY<STRING>", "ARRAY<VOID>"
-            ),
-            F.lit(f"{key} must be a list of strings"),
-        )
-        for key in LIST_KEYS
-    ]
-    checks += [
-        F.when(F.array_contains(keys, key), F.lit(f"{key} is reserved")) for key in RESERVED_KEYS
-    ]
-    return F.coalesce(*checks)
-
-
 def parse_headers(files: DataFrame) -> DataFrame:
     """Add ``body``, ``metadata`` (JSON text) and ``metadata_error`` in one pass.
 
@@ -165,9 +163,9 @@ def parse_headers(files: DataFrame) -> DataFrame:
         .withColumn("_decoded", _decode("_header"))
         .withColumn(
             "metadata_error",
-            F.when(unclosed, F.lit("UNCLOSED: header has no closing line"))
-            .when(F.col("_decoded.error").isNotNull(), F.col("_decoded.error"))
-            .otherwise(metadata_problem(F.col("_decoded.metadata"))),
+            F.when(unclosed, F.lit("UNCLOSED: header has no closing line")).otherwise(
+                F.col("_decoded.error")
+            ),
         )
         .select(
             *files.columns,
