@@ -170,7 +170,7 @@ def _decided(requests: DataFrame, state: DataFrame) -> DataFrame:
 
 _FOLDED = (
     "row string, seq bigint, path string, op string, outcome string, replaced int, title string, "
-    "content string, content_hash string, revision bigint, ts timestamp, present boolean, removed boolean"
+    "content string, content_hash string, revision bigint, ts bigint, present boolean, removed boolean"
 )
 
 
@@ -244,9 +244,9 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             outcome, replaced = step(request)
             out.append({"row": "request", "seq": request.seq, "path": request.path, "op": request.op,
                         "outcome": outcome, "replaced": replaced})
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=columns, dtype=object)
     if state is not None and state["touched"]:
-        yield pd.DataFrame([final()], columns=columns)
+        yield pd.DataFrame([final()], columns=columns, dtype=object)
 
 
 def _chained(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -258,12 +258,12 @@ def _chained(requests: DataFrame, state: DataFrame) -> DataFrame:
     first = state.select(
         F.lit(-1).cast("bigint").alias("order"), F.lit(None).cast("bigint").alias("seq"), F.lit("state").alias("op"), "path", "content",
         F.lit("").alias("old"), F.lit("").alias("new"), F.lit(False).alias("every"),
-        F.lit("").alias("expected_hash"), F.col("mtime").alias("ts"),
+        F.lit("").alias("expected_hash"), F.unix_micros("mtime").alias("ts"),
         "title", "content_hash", "revision", "present", "is_dir", "blocked",
     )
     rest = requests.select(
-        F.col("seq").alias("order"), "seq", "op", "path", "content", "old", "new", "every", "expected_hash", "ts",
-        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content_hash"),
+        F.col("seq").alias("order"), "seq", "op", "path", "content", "old", "new", "every", "expected_hash",
+        F.unix_micros("ts").alias("ts"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content_hash"),
         F.lit(0).cast("bigint").alias("revision"), F.lit(False).alias("present"),
         F.lit(False).alias("is_dir"), F.lit(False).alias("blocked"),
     )
@@ -316,7 +316,7 @@ def _apply_block(current: DataFrame, block: DataFrame) -> Changes:
     finals = folded.filter("row = 'final'")
     folded_files = finals.filter("present").select(
         "path", "title", "content", F.octet_length("content").cast("bigint").alias("size"),
-        F.col("ts").alias("mtime"), "content_hash", "revision",
+        F.timestamp_micros("ts").alias("mtime"), "content_hash", "revision",
     )
     removed = (
         decided.filter("outcome = 'OK' and op = 'delete'").select("path")
