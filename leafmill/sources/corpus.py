@@ -71,19 +71,12 @@ def conversation_files(turns: DataFrame) -> DataFrame:
     one conversation holds a large part of the table.
     """
     session = session_number("turn")
-    path = F.concat(
-        F.lit("/conversations/"), F.col("conv_id").cast("string"),
-        F.lit("/session-"), F.lpad(session.cast("string"), 2, "0"), F.lit(".md"),
-    )
     line = F.concat(F.lit("["), "role", F.lit("]: "), "text")
     return with_file_columns(
         turns.groupBy("conv_id", session.alias("session"))
         .agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("turns"))
         .select(
-            F.concat(
-                F.lit("/conversations/"), F.col("conv_id").cast("string"), F.lit("/session-"),
-                F.lpad(F.col("session").cast("string"), 2, "0"), F.lit(".md"),
-            ).alias("path"),
+            F.format_string("/conversations/%d/session-%02d.md", "conv_id", "session").alias("path"),
             F.array_join(F.transform("turns", lambda t: t.line), "\n").alias("content"),
             _minutes_after("2024-03-01", F.col("conv_id")).alias("mtime"),
         )
