@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..session import broadcast_if_small
 from .errors import InvalidParameter, NotDirectory, NotFound
 
 SORT_FIELDS = ("name", "size", "mtime")
@@ -344,3 +345,22 @@ def glob_rows(files: DataFrame, pattern: str) -> DataFrame:
 
 def glob(files: DataFrame, pattern: str, limit: int = 0, offset: int = 0) -> DataFrame:
     return page(glob_rows(files, pattern).orderBy("path"), limit, offset)
+
+
+# --- joins along the tree ----------------------------------------------------------
+
+
+def ancestor_max(files: DataFrame, dirs: DataFrame, value: str) -> DataFrame:
+    """(path, value): the largest value among the directories above each file.
+
+    The files' ancestors are exploded and met by equality, so no prefix comparison of all
+    pairs takes place; the small directory side is broadcast when its size allows.
+    """
+    above = files.select("path", F.explode(P.ancestors("path")).alias("dir"))
+    side = broadcast_if_small(dirs.select(F.col("path").alias("dir"), value))
+    return above.join(side, "dir").groupBy("path").agg(F.max(value).alias(value))
+
+
+def inhabited(dirs: DataFrame, files: DataFrame) -> DataFrame:
+    """Directory rows that still have a document below them."""
+    return dirs.join(directories(files).select("path"), "path", "left_semi")

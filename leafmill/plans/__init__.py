@@ -1 +1,6 @@
 """The operators applied to the given tables, each with its SQL restatement."""
+
+from . import browse
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

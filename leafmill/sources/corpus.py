@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,17 @@ def with_file_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def _minutes_after(day: str, minutes: Column) -> Column:
-    return F.timestamp_seconds(F.unix_timestamp(F.lit(day).cast("timestamp")) + minutes * 60)
+def _minutes_after(year: int, month: int, minutes: Column) -> Column:
+    """An instant that does not depend on the time zone of the session."""
+    start = int(datetime(year, month, 1, tzinfo=timezone.utc).timestamp())
+    return F.timestamp_seconds(F.lit(start) + minutes * 60)
+
+
+def instant(ts: Column | str) -> Column:
+    """A wall-clock column (with or without time zone) read as UTC."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    start = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz")))
 
 
 def document_files(documents: DataFrame) -> DataFrame:
@@ -41,7 +52,7 @@ def document_files(documents: DataFrame) -> DataFrame:
                 F.col("doc_id").cast("string"), F.lit(".md"),
             ).alias("path"),
             F.col("text").alias("content"),
-            _minutes_after("2024-01-01", F.col("doc_id")).alias("mtime"),
+            _minutes_after(2024, 1, F.col("doc_id")).alias("mtime"),
         )
     )
 
@@ -54,7 +65,7 @@ def page_files(pages: DataFrame) -> DataFrame:
                 F.lit("/web/"), host, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")
             ).alias("path"),
             F.col("html").alias("content"),
-            _minutes_after("2024-02-01", F.col("page_id")).alias("mtime"),
+            _minutes_after(2024, 2, F.col("page_id")).alias("mtime"),
         )
     )
 
@@ -78,7 +89,7 @@ def conversation_files(turns: DataFrame) -> DataFrame:
         .select(
             F.format_string("/conversations/%d/session-%02d.md", "conv_id", "session").alias("path"),
             F.array_join(F.transform("turns", lambda t: t.line), "\n").alias("content"),
-            _minutes_after("2024-03-01", F.col("conv_id")).alias("mtime"),
+            _minutes_after(2024, 3, F.col("conv_id")).alias("mtime"),
         )
     )
 
