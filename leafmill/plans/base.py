@@ -16,7 +16,17 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(run):
-        QUERIES[name] = run
+        def wide_integers(spark: SparkSession, folder: str) -> DataFrame:
+            """The result with all integers as bigint, the type of SQL counts."""
+            rows = run(spark, folder)
+            return rows.select(
+                *[
+                    F.col(f.name).cast("bigint").alias(f.name) if f.dataType.typeName() == "integer" else f.name
+                    for f in rows.schema.fields
+                ]
+            )
+
+        QUERIES[name] = wide_integers
         if sql is not None:
             ORACLES[name] = sql
         return run

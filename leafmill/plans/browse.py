@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query(
     "source_build",
-    f"WITH {FILES} SELECT path, name AS title, size, content_hash, 1 AS revision FROM files",
+    f"WITH {FILES} SELECT path, name AS title, size, content_hash, 1::BIGINT AS revision FROM files",
 )
 def _(spark, sf):
     return files(spark, sf).select("path", "title", "size", "content_hash", F.col("revision").cast("int"))

@@ -14,8 +14,22 @@ from ..functions import text as X
 SESSION_TURNS = 500
 
 
+# Tables with long texts and the key that spreads them.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(rows, TEXT_KEYS[table]) if table in TEXT_KEYS else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a scan that has fewer tasks than cores, such as one small file.
+
+    A large table has more tasks than the cluster has cores and is not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def with_file_columns(df: DataFrame) -> DataFrame:
