@@ -99,11 +99,11 @@ def _path_state(current: DataFrame, paths: DataFrame) -> DataFrame:
     """For each requested path: its document, whether it is a directory, and whether a
     document stands where one of its directories should be."""
     own = pick(current, paths).select("path", "title", "content", "content_hash", "revision", "mtime")
-    dirs = directories(current).select("path").join(broadcast_if_small(paths), "path", "left_semi")
+    dirs = directories(current).select("path").join(paths, "path", "left_semi")
     above = paths.select("path", F.explode(P.ancestors("path")).alias("above")).filter("above <> '/'")
     file_paths = current.select(F.col("path").alias("above"))
     blocking = pick(file_paths, above.select("above"), "above")
-    blocked = above.join(broadcast_if_small(blocking), "above", "left_semi").select("path").distinct()
+    blocked = above.join(blocking, "above", "left_semi").select("path").distinct()
     return (
         paths.join(own, "path", "left")
         .join(dirs.withColumn("is_dir", F.lit(True)), "path", "left")
@@ -288,6 +288,9 @@ def _apply_block(current: DataFrame, block: DataFrame) -> Changes:
     simple = per_path.filter("n = 1 or plain_puts").select("path")
     chains = per_path.filter("n > 1 and not plain_puts").select("path")
 
+    kinds = per_path.agg(
+        F.count_if((F.col("n") > 1) & ~F.col("plain_puts")).alias("chains"),
+    ).first()
     decided = durable(_decided(block.join(simple, "path", "left_semi"), state), "decided")
     applied = decided.filter("outcome = 'OK' and op <> 'delete'")
     written = (
@@ -307,25 +310,25 @@ def _apply_block(current: DataFrame, block: DataFrame) -> Changes:
             (F.col("revision") + F.col("writes")).alias("revision"),
         )
     )
+    removed = decided.filter("outcome = 'OK' and op = 'delete'").select("path")
+    outcomes = decided.select("seq", "op", "path", "outcome", "replaced")
+    if not kinds.chains:
+        return Changes(written, removed, outcomes)
     folded = durable(
-        _chained(
-            block.join(chains, "path", "left_semi"), state.join(chains, "path", "left_semi")
-        ),
-        "folded",
+        _chained(block.join(chains, "path", "left_semi"), state.join(chains, "path", "left_semi")), "folded"
     )
     finals = folded.filter("row = 'final'")
     folded_files = finals.filter("present").select(
         "path", "title", "content", F.octet_length("content").cast("bigint").alias("size"),
         F.timestamp_micros("ts").alias("mtime"), "content_hash", "revision",
     )
-    removed = (
-        decided.filter("outcome = 'OK' and op = 'delete'").select("path")
-        .unionByName(finals.filter("removed").select("path"))
-    )
-    outcomes = decided.select("seq", "op", "path", "outcome", "replaced").unionByName(
-        folded.filter("row = 'request'").select("seq", "op", "path", "outcome", "replaced")
+    return Changes(
+        written.unionByName(folded_files),
+        removed.unionByName(finals.filter("removed").select("path")),
+        outcomes.unionByName(
+            folded.filter("row = 'request'").select("seq", "op", "path", "outcome", "replaced")
+        ),
     )
-    return Changes(written.unionByName(folded_files), removed, outcomes)
 
 
 # --- batches ---------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -299,56 +300,72 @@ def rollup(
         return Rollup(previous.select(*COLUMNS), spark.createDataFrame([], "path string"))
 
     done: dict[int, DataFrame] = {}
-    calls: list[DataFrame] = []
+    calls = spark.createDataFrame([], "path string")
     raised = None
     for level in range(levels, -1, -1):
         jobs = pending.filter(F.col("depth") == level)
         if raised is not None:
             jobs = jobs.unionByName(
-                tree.filter(F.col("depth") == level).join(broadcast_if_small(raised), "path", "left_semi")
+                tree.filter(F.col("depth") == level).join(raised, "path", "left_semi")
             ).distinct()
+        kinds = {r.kind for r in jobs.select("kind").distinct().collect()}
+        raised = None
+        if not kinds:
+            continue
         children = previous.filter(F.col("depth") == level + 1).select(*COLUMNS)
         if level + 1 in done:
             redone = done[level + 1].select(*COLUMNS)
             children = children.join(redone.select("path"), "path", "left_anti").unionByName(redone)
-        finished, called = _level(
-            files, jobs, children, previous.filter(F.col("depth") == level), forced, language, generate, now
+        done[level], called = _level(
+            files, jobs, kinds, children, previous.filter(F.col("depth") == level), forced, language, generate, now
         )
-        done[level] = finished
-        calls.append(called)
-        raised = finished.filter("changed").select(F.col("parent").alias("path")).filter("path <> ''").distinct()
-
-    updated = done[levels].select(*COLUMNS)
-    requested = calls[0]
-    for level in range(levels - 1, -1, -1):
-        updated = updated.unionByName(done[level].select(*COLUMNS))
-        requested = requested.unionByName(calls[levels - level])
+        calls = calls.unionByName(called)
+        raised = done[level].filter("changed").select(F.col("parent").alias("path")).filter("path <> ''").distinct()
+
+    if not done:
+        return Rollup(previous.select(*COLUMNS), calls)
+    updated = reduce(DataFrame.unionByName, [rows.select(*COLUMNS) for rows in done.values()])
     kept = previous.join(updated.select("path"), "path", "left_anti").select(*COLUMNS)
-    return Rollup(kept.unionByName(updated), requested)
-
-
-def _level(files, jobs, children, previous, forced, language, generate, now):
-    """One level: sources, reuse or generation, and the new rows of its jobs."""
-    jobs = durable(jobs, "jobs")
-    documents = jobs.filter("kind = 'file'").select("path")
-    of_documents = document_sources(pick(files.select("path", "content"), documents))
-    folders = jobs.filter("kind = 'dir'").select(F.col("path").alias("parent"))
-    of_folders = child_sources(
-        children.join(broadcast_if_small(folders), "parent", "left_semi")
-    ).select(F.col("parent").alias("path"), "sources", F.lit(None).cast("string").alias("input_error"))
-    sources = of_documents.unionByName(of_folders)
+    return Rollup(kept.unionByName(updated), calls)
+
+
+def _level(files, jobs, kinds, children, previous, forced, language, generate, now):
+    """One level: decide per job, generate where needed, and the new rows of the jobs.
+
+    The decisions are a slim table without texts.  The sources of the paths that need the
+    generator are read again, so no copy of the document texts is written.
+    """
+
+    def sources_of(paths: DataFrame) -> DataFrame:
+        parts = []
+        if "file" in kinds:
+            wanted = paths.filter("kind = 'file'").select("path")
+            parts.append(document_sources(pick(files.select("path", "content"), wanted)))
+        if "dir" in kinds:
+            folders = paths.filter("kind = 'dir'").select(F.col("path").alias("parent"))
+            parts.append(
+                child_sources(children.join(folders, "parent", "left_semi")).select(
+                    F.col("parent").alias("path"), "sources", F.lit(None).cast("string").alias("input_error")
+                )
+            )
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
     none = F.array().cast("array<struct<path:string,body:string>>")
     old = previous.select(
         "path", F.col("language").alias("old_language"), F.col("source_hash").alias("old_hash"),
         F.col("abstract").alias("old_abstract"), F.col("overview").alias("old_overview"),
         F.col("updated_at").alias("old_updated_at"),
     )
+    inputs = sources_of(jobs).select(
+        "path", "input_error", F.size("sources").alias("n_sources"),
+        X.content_hash(F.to_json("sources")).alias("new_hash"),
+    )
     rows = (
-        jobs.join(sources, "path", "left")
-        .withColumn("sources", F.coalesce("sources", none))
-        .withColumn("new_hash", X.content_hash(F.to_json("sources")))
+        jobs.join(inputs, "path", "left")
+        .withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+        .withColumn("new_hash", F.coalesce("new_hash", X.content_hash(F.to_json(none))))
         .join(old, "path", "left")
-        .join(broadcast_if_small(forced.withColumn("force", F.lit(True))), "path", "left")
+        .join(forced.withColumn("force", F.lit(True)), "path", "left")
         .fillna("", ["old_language", "old_hash", "old_abstract", "old_overview"])
     )
     has_text = (F.col("old_abstract") != "") | (F.col("old_overview") != "")
@@ -358,27 +375,37 @@ def _level(files, jobs, children, previous, forced, language, generate, now):
     )
     action = (
         F.when(F.col("input_error").isNotNull(), F.lit("invalid"))
-        .when(F.size("sources") == 0, F.lit("empty"))
+        .when(F.col("n_sources") == 0, F.lit("empty"))
         .when(unchanged, F.lit("keep"))
         .otherwise(F.lit("generate"))
     )
     rows = durable(rows.withColumn("action", action), "decisions")
-    requests = rows.filter("action = 'generate'").select(
-        "path", F.lit(language).alias("language"), (F.col("kind") == "dir").alias("directory"), "sources"
-    )
-    results = generate_with_retries(requests, generate).withColumnRenamed("error", "generate_error")
-    merged = rows.drop("sources").join(results, "path", "left")
+    called = rows.filter("action = 'generate'").select("path", "kind")
+    if called.limit(1).count():
+        requests = called.join(sources_of(called), "path").select(
+            "path", F.lit(language).alias("language"), (F.col("kind") == "dir").alias("directory"), "sources"
+        )
+        results = generate_with_retries(requests, generate).withColumnRenamed("error", "generate_error")
+        merged = rows.join(results.drop("attempts"), "path", "left")
+    else:
+        merged = rows.withColumns(
+            {
+                "ok": F.lit(False),
+                **{c: F.lit(None).cast("string") for c in ("abstract", "overview", "generate_error")},
+            }
+        )
     failed = (F.col("action") == "invalid") | (
         (F.col("action") == "generate") & ~F.coalesce("ok", F.lit(False))
     )
-    text = lambda new, was: (
-        F.when(failed | (F.col("action") == "keep"), F.col(was))
-        .when(F.col("action") == "empty", F.lit(""))
-        .otherwise(F.col(new))
-    )
-    merged = merged.withColumn("_abstract", text("abstract", "old_abstract")).withColumn(
-        "_overview", text("overview", "old_overview")
-    )
+
+    def text(new: str, was: str) -> Column:
+        return (
+            F.when(failed | (F.col("action") == "keep"), F.col(was))
+            .when(F.col("action") == "empty", F.lit(""))
+            .otherwise(F.col(new))
+        )
+
+    merged = merged.withColumns({"_abstract": text("abstract", "old_abstract"), "_overview": text("overview", "old_overview")})
     changed = (F.col("_abstract") != F.col("old_abstract")) | (F.col("_overview") != F.col("old_overview"))
     finished = merged.select(
         "path", "parent", "kind",
@@ -392,7 +419,7 @@ def _level(files, jobs, children, previous, forced, language, generate, now):
         F.when(changed | failed, now).otherwise(F.coalesce("old_updated_at", now)).alias("updated_at"),
         (changed & ~failed).alias("changed"),
     )
-    return durable(finished, "level"), requests.select("path")
+    return durable(finished, "level"), called.select("path")
 
 
 # --- lookups and exports ----------------------------------------------------------

@@ -135,7 +135,7 @@ def _(spark, sf):
 
 @query(
     "write_equal_conditions",
-    f"""WITH {FILES} SELECT path, k, CASE WHEN k = 0 THEN 'OK' ELSE 'CONFLICT' END AS outcome FROM files, (SELECT unnest([0, 1, 2]) AS k) WHERE starts_with(path, '/corpus/')""",
+    f"""WITH {FILES} SELECT path, k, CASE WHEN k = 0 THEN 'OK' ELSE 'CONFLICT' END AS outcome FROM files, (SELECT unnest([0, 1, 2])::BIGINT AS k) WHERE starts_with(path, '/corpus/')""",
 )
 def _(spark, sf):
     # Three writers with the same expected hash for every document: one of them wins.
@@ -250,7 +250,7 @@ def _(spark, sf):
     return result.calls
 
 
-@query("summary_unchanged_calls", "SELECT 0 AS calls, 0 AS stale")
+@query("summary_unchanged_calls", "SELECT 0::BIGINT AS calls, 0::BIGINT AS stale")
 def _(spark, sf):
     """A write of equal text makes paths stale, but no input changes."""
     corpus = files(spark, sf)
@@ -296,7 +296,7 @@ def _(spark, sf):
 
 @query(
     "summary_python_generator",
-    f"""WITH {FILES} SELECT path, left(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 40) AS abstract FROM files""",
+    f"""WITH {FILES} SELECT path, regexp_replace(left(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 40), '\\s+$', '') AS abstract FROM files""",
 )
 def _(spark, sf):
     def make(request):

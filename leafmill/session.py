@@ -50,7 +50,9 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors, and keeps column
-    pruning and filter pushdown for the readers.
+    pruning and filter pushdown for the readers.  The size of the written files is
+    known to the planner, which broadcasts such a table in a join only below
+    ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
