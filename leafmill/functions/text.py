@@ -12,7 +12,7 @@ LABEL_LENGTH = 40
 
 _HAN = r"\p{IsHan}"
 _RUNS = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
-_WORDS = r"[\p{L}\p{Nd}]+"
+_BETWEEN_WORDS = r"[^\p{L}\p{Nd}]+"
 _OTHER = r"[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
 _HAN_PAIR = r"(?=(\p{IsHan}{2}))"
 _LONE_HAN = r"(?<!\p{IsHan})\p{IsHan}(?!\p{IsHan})"
@@ -30,7 +30,9 @@ def _strings() -> Column:
 
 def lower(text: Column | str) -> Column:
     """Lower case character by character, without the special multi-character cases."""
-    return F.lower(F.translate(_col(text), "İΣ", "iσ"))
+    text = _col(text)
+    special = F.contains(text, F.lit("İ")) | F.contains(text, F.lit("Σ"))
+    return F.lower(F.when(special, F.translate(text, "İΣ", "iσ")).otherwise(text))
 
 
 def lines(content: Column | str) -> Column:
@@ -73,8 +75,12 @@ def tokens(text: Column | str) -> Column:
             ).otherwise(F.array(run)),
         )
     )
-    plain = F.regexp_extract_all(folded, F.lit(_WORDS), F.lit(0))
-    return F.when(folded.rlike(_HAN), mixed).otherwise(plain)
+    return F.when(folded.rlike(_HAN), mixed).otherwise(_words(folded))
+
+
+def _words(folded: Column) -> Column:
+    """Words of a text without Han characters; splitting is the fastest way to get them."""
+    return F.array_remove(F.split(folded, _BETWEEN_WORDS), "")
 
 
 def token_bag(text: Column | str) -> Column:
@@ -83,13 +89,17 @@ def token_bag(text: Column | str) -> Column:
     Counting needs no order, and an argument without lambda functions lets Spark pass the
     array to a vectorised function directly.
     """
-    folded = lower(text)
+    return bag_of_lower(lower(text))
+
+
+def bag_of_lower(folded: Column | str) -> Column:
+    """Token bag of a text that is in lower case already."""
+    folded = _col(folded)
     found = [
         F.regexp_extract_all(folded, F.lit(pattern), F.lit(group))
         for pattern, group in ((_OTHER, 0), (_HAN, 0), (_HAN_PAIR, 1))
     ]
-    plain = F.regexp_extract_all(folded, F.lit(_WORDS), F.lit(0))
-    return F.when(folded.rlike(_HAN), F.concat(*found)).otherwise(plain)
+    return F.when(folded.rlike(_HAN), F.concat(*found)).otherwise(_words(folded))
 
 
 def query_terms(query: Column | str, limit: int = MAX_QUERY_TERMS) -> Column:
@@ -101,24 +111,26 @@ def query_terms(query: Column | str, limit: int = MAX_QUERY_TERMS) -> Column:
     return F.slice(F.array_distinct(terms), 1, limit)
 
 
-def term_counts(sorted_tokens: Column | str) -> Column:
-    """Run lengths of a sorted token array: array<struct<lexeme, tf>>.
+def run_starts(sorted_tokens: str) -> Column:
+    """Positions (from 1) at which a new value starts in a sorted array column."""
+    word = F.col(sorted_tokens)
+    positions = F.when(F.size(word) > 0, F.sequence(F.lit(1), F.size(word))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.filter(positions, lambda i: (i == 1) | (F.get(word, i - 1) != F.get(word, i - 2)))
+
 
-    ``sorted_tokens`` must be a materialised column (not an inline expression), so
-    that it is computed once per row.  Counting inside the row needs no shuffle.
+def run_lengths(sorted_tokens: str, starts: str) -> Column:
+    """array<struct<lexeme, tf>> from a sorted array column and its run starts.
+
+    Counting inside the row needs no shuffle.
     """
-    word = _col(sorted_tokens)
-    size = F.size(word)
-    starts = F.filter(
-        F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 1) | (F.get(word, i - 1) != F.get(word, i - 2)),
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), size), F.array(size + 1))
-    return F.zip_with(
-        starts,
-        F.slice(ends, F.lit(1), F.size(starts)),
-        lambda start, end: F.struct(
-            F.get(word, start - 1).alias("lexeme"), (end - start).alias("tf")
+    word, at = F.col(sorted_tokens), F.col(starts)
+    return F.transform(
+        at,
+        lambda start, i: F.struct(
+            F.get(word, start - 1).alias("lexeme"),
+            (F.coalesce(F.get(at, i + 1), F.size(word) + 1) - start).alias("tf"),
         ),
     )
 

@@ -26,11 +26,16 @@ def index_text(parsed: DataFrame) -> Column:
 
 
 def _count_rows(rows: DataFrame, text: Column, language: str, source: str, kind: Column) -> DataFrame:
-    """Count lexemes inside each row; the result needs no shuffle."""
-    sorted_lexemes = F.array_sort(lexemes(X.token_bag(text), language))
+    """Count lexemes inside each row; the result needs no shuffle.
+
+    Each step is its own column, so that it is computed once per row.
+    """
     return (
-        rows.select("path", kind.alias("kind"), sorted_lexemes.alias("_sorted"))
-        .select("path", "kind", F.inline(X.term_counts("_sorted")))
+        rows.select("path", kind.alias("kind"), text.alias("_text"))
+        .select("path", "kind", X.lower("_text").alias("_low"))
+        .select("path", "kind", F.array_sort(lexemes(X.bag_of_lower("_low"), language)).alias("_sorted"))
+        .select("path", "kind", "_sorted", X.run_starts("_sorted").alias("_starts"))
+        .select("path", "kind", F.inline(X.run_lengths("_sorted", "_starts")))
         .select("path", F.lit(source).alias("source"), "kind", "lexeme", "tf")
     )
 

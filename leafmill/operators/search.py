@@ -190,6 +190,20 @@ def _abstracts(summaries: DataFrame) -> DataFrame:
 # --- passages --------------------------------------------------------------------
 
 
+def _lower_lines(content: DataFrame) -> DataFrame:
+    """(path, passages): each passage with its lower-case form, made once per document."""
+    return content.select("path", X.passages("body").alias("lines")).select(
+        "path",
+        F.transform("lines", lambda line: F.struct(line.alias("line"), X.lower(line).alias("low"))).alias("passages"),
+    )
+
+
+def _lines_with(texts: str) -> Column:
+    """Passages that contain one of the texts of an array column."""
+    kept = F.filter("passages", lambda p: F.exists(texts, lambda t: F.contains(p.low, t)))
+    return F.transform(kept, lambda p: p.line)
+
+
 def page_lines(page: DataFrame, files: DataFrame, query_rows: DataFrame) -> DataFrame:
     """(query_id, path, place, candidates, taken, lines) for the documents of a page.
 
@@ -203,17 +217,14 @@ def page_lines(page: DataFrame, files: DataFrame, query_rows: DataFrame) -> Data
     rows = (
         page.select("query_id", "path", "place")
         .join(broadcast_if_small(terms), "query_id")
-        .join(content.select("path", X.passages("body").alias("passages")), "path")
+        .join(_lower_lines(content), "path")
     )
     rows = rows.select(
         "query_id",
         "path",
         "place",
         "lexemes",
-        F.filter(
-            "passages",
-            lambda line: F.exists("starts", lambda start: F.contains(X.lower(line), start)),
-        ).alias("lines"),
+        _lines_with("starts").alias("lines"),
     ).withColumn("candidates", F.size("lines"))
     own = F.least(F.col("candidates"), F.lit(MAX_DOCUMENT_LINES))
     earlier = F.coalesce(
@@ -359,10 +370,10 @@ def word_expansions(words: DataFrame, terms: DataFrame) -> DataFrame:
     A term meets the words through its first characters (up to three) and is then tested,
     so the two tables never form a product.
     """
-    start = F.substring("term", 1, 3)
-    keyed = terms.select("term").distinct().withColumn("gram", start)
+    keyed = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    sizes = [r[0] for r in keyed.select(F.length("gram")).distinct().limit(3).collect()]
     grams = words.select(
-        "word", F.explode(F.concat(_grams(F.col("word"), 1), _grams(F.col("word"), 2), _grams(F.col("word"), 3))).alias("gram")
+        "word", F.explode(F.concat(*[_grams(F.col("word"), n) for n in sorted(sizes) or [3]])).alias("gram")
     )
     return (
         grams.join(broadcast_if_small(keyed), "gram")
@@ -386,8 +397,11 @@ def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.regexp_extract_all(X.lower("content"), F.lit(_RUN), F.lit(0)))).alias("word"),
     )
     expansions = word_expansions(document_words.select("word").distinct(), terms)
-    wanted = terms.join(expansions, "term").select(
-        "query_id", "scope", "n_terms", "word", F.expr("shiftleft(1, slot)").alias("bit")
+    wanted = durable(
+        terms.join(expansions, "term")
+        .groupBy("query_id", "scope", "n_terms", "word")
+        .agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("bit")),
+        "words",
     )
     return (
         document_words.join(broadcast_if_small(wanted), "word")
@@ -409,14 +423,15 @@ def substring_search(files: DataFrame, queries: DataFrame, limit: int = 0, offse
     """Page of the substring search with the first three matching lines per document."""
     page = durable(substring_page(substring_found(files, queries), limit, offset), "page")
     terms = with_scope(queries).select("query_id", X.query_terms("query").alias("terms"))
-    content = H.parse_headers(pick(files, page).select("path", "content", "size", "mtime"))
-    rows = page.join(broadcast_if_small(terms), "query_id").join(
-        content.select("path", "size", "mtime", X.passages("body").alias("lines")), "path"
-    )
-    matching = F.filter(
-        "lines", lambda line: F.exists("terms", lambda term: F.contains(X.lower(line), term))
+    picked = pick(files, page)
+    content = H.parse_headers(picked.select("path", "content"))
+    attributes = picked.select("path", "size", "mtime")
+    rows = (
+        page.join(broadcast_if_small(terms), "query_id")
+        .join(_lower_lines(content), "path")
+        .join(attributes, "path")
     )
-    return rows.withColumn("matching", matching).select(
+    return rows.withColumn("matching", _lines_with("terms")).select(
         "query_id", "place", "path", "matched", "rank",
         F.slice("matching", 1, DOCUMENT_PASSAGES).alias("passages"),
         F.greatest(F.size("matching") - DOCUMENT_PASSAGES, F.lit(0)).alias("more_lines"),

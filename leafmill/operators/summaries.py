@@ -129,33 +129,42 @@ def document_sources(files: DataFrame) -> DataFrame:
     )
 
 
-def child_sources(children: DataFrame, limit: int = MAX_SOURCE_BYTES) -> DataFrame:
+def _known_children(children: DataFrame) -> DataFrame:
+    """Children with a text: the path to show, the short and the long text, and the least
+    number of bytes that the child takes."""
+    is_file = F.col("kind") == "file"
+    long_text = F.when(is_file & (F.col("overview") != ""), F.col("overview")).otherwise(F.col("abstract"))
+    shown = F.when(is_file, F.col("path")).otherwise(F.concat("path", F.lit("/")))
+    short = F.when(F.col("abstract") != "", F.octet_length("abstract")).otherwise(F.octet_length("long_text"))
+    return (
+        children.select("parent", "path", shown.alias("shown"), "abstract", long_text.alias("long_text"))
+        .filter("long_text <> ''")
+        .withColumn("least", F.octet_length("shown") + F.least(F.octet_length("long_text"), short))
+    )
+
+
+def fitting_children(children: DataFrame, limit: int = MAX_SOURCE_BYTES) -> int:
+    """How many children of one directory can fit into the byte limit at most."""
+    smallest = _known_children(children).agg(F.min("least")).first()[0]
+    return limit // smallest + 1 if smallest else 1
+
+
+def child_sources(
+    children: DataFrame, limit: int = MAX_SOURCE_BYTES, fitting: int | None = None
+) -> DataFrame:
     """(parent, sources) from child rows (parent, path, kind, abstract, overview).
 
     Sizes and counts come from a partial aggregate.  The children that can fit are the first
     few thousand by path, because each one needs some bytes; a top-k window keeps only those
     per task before the shuffle, so one huge directory never meets in one group.
     """
-    is_file = F.col("kind") == "file"
-    long_text = F.when(is_file & (F.col("overview") != ""), F.col("overview")).otherwise(F.col("abstract"))
-    known = children.select(
-        "parent",
-        "path",
-        F.when(is_file, F.col("path")).otherwise(F.concat("path", F.lit("/"))).alias("shown"),
-        "abstract",
-        long_text.alias("long_text"),
-    ).filter("long_text <> ''")
+    known = _known_children(children)
     shown_size = F.octet_length("shown")
     totals = known.groupBy("parent").agg(
         F.sum((shown_size + F.octet_length("long_text")).cast("bigint")).alias("long_bytes"),
         F.count(F.lit(1)).alias("known"),
     )
-    shortest = F.least(
-        F.octet_length("long_text"),
-        F.when(F.col("abstract") != "", F.octet_length("abstract")).otherwise(F.octet_length("long_text")),
-    )
-    smallest = known.agg(F.min(shown_size + shortest)).first()[0]
-    fitting = limit // smallest + 1 if smallest else 1
+    fitting = fitting_children(children, limit) if fitting is None else fitting
     by_path = Window.partitionBy("parent").orderBy("path")
     first = known.withColumn("n", F.row_number().over(by_path)).filter(F.col("n") <= fitting)
     body = F.when((F.col("long_bytes") > limit) & (F.col("abstract") != ""), F.col("abstract")).otherwise(
@@ -336,6 +345,8 @@ def _level(files, jobs, kinds, children, previous, forced, language, generate, n
     generator are read again, so no copy of the document texts is written.
     """
 
+    fitting = fitting_children(children) if "dir" in kinds else None
+
     def sources_of(paths: DataFrame) -> DataFrame:
         parts = []
         if "file" in kinds:
@@ -344,7 +355,7 @@ def _level(files, jobs, kinds, children, previous, forced, language, generate, n
         if "dir" in kinds:
             folders = paths.filter("kind = 'dir'").select(F.col("path").alias("parent"))
             parts.append(
-                child_sources(children.join(folders, "parent", "left_semi")).select(
+                child_sources(children.join(folders, "parent", "left_semi"), fitting=fitting).select(
                     F.col("parent").alias("path"), "sources", F.lit(None).cast("string").alias("input_error")
                 )
             )

@@ -334,12 +334,16 @@ def _(spark, sf):
 
 @query(
     "tree_ls",
-    f"""{TREE} SELECT path, name, kind, size, count(*) OVER () AS total FROM nodes WHERE parent = '/corpus' ORDER BY name LIMIT 15 OFFSET 3""",
+    f"""{TREE}, shown AS (SELECT path, kind, size FROM nodes WHERE parent = '/corpus')
+        (SELECT * FROM shown ORDER BY path LIMIT 15 OFFSET 3) UNION ALL SELECT '(total)', 'total', count(*) FROM shown""",
 )
 def _(spark, sf):
     tree = T.nodes(files(spark, sf))
-    rows = T.ls(tree, "/corpus", limit=15, offset=3).select("path", "name", "kind", "size")
-    return rows.crossJoin(F.broadcast(T.total(T.ls_rows(tree, "/corpus"))))
+    rows = T.ls(tree, "/corpus", limit=15, offset=3).select("path", "kind", "size")
+    total = T.total(T.ls_rows(tree, "/corpus"))
+    return rows.unionByName(
+        total.select(F.lit("(total)").alias("path"), F.lit("total").alias("kind"), F.col("total").alias("size"))
+    )
 
 
 @query(
@@ -461,13 +465,14 @@ def _(spark, sf):
 
 @query(
     "find_page",
-    f"""{TREE} SELECT path, (SELECT count(*) FROM nodes WHERE kind = 'file' AND regexp_matches(name, '^[^0-4].*\\.html$')) AS total
-        FROM nodes WHERE kind = 'file' AND regexp_matches(name, '^[^0-4].*\\.html$') ORDER BY path LIMIT 20 OFFSET 10""",
+    f"""{TREE}, shown AS (SELECT path, size FROM nodes WHERE kind = 'file' AND regexp_matches(name, '^[^0-4].*\\.html$'))
+        (SELECT * FROM shown ORDER BY path LIMIT 20 OFFSET 10) UNION ALL SELECT '(total)', count(*) FROM shown""",
 )
 def _(spark, sf):
     tree = T.nodes(files(spark, sf))
-    rows = T.find(tree, "/", limit=20, offset=10, name="[^0-4]*.html").select("path")
-    return rows.crossJoin(F.broadcast(T.total(T.find_rows(tree, "/", name="[^0-4]*.html"))))
+    rows = T.find(tree, "/", limit=20, offset=10, name="[^0-4]*.html").select("path", "size")
+    total = T.total(T.find_rows(tree, "/", name="[^0-4]*.html"))
+    return rows.unionByName(total.select(F.lit("(total)").alias("path"), F.col("total").alias("size")))
 
 
 @query("glob_paths", f"WITH {FILES} SELECT substr(path, 2) AS path, size FROM files WHERE regexp_matches(path, '^/(.*/)?en/[^/]*7\\.md$')")

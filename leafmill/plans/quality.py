@@ -221,7 +221,7 @@ def search_traces(spark, sf) -> tuple[DataFrame, DataFrame]:
     result, after an empty result for every third query.
 
     The evidence turns of a query are the start and the middle of its text; its evidence
-    documents are those that contain the whole text.
+    document is the first one (by path) that contains the whole text.
     """
     hits = durable(full_search(spark, sf).hits, "hits")
     printed = E.printed_results(hits).select(
@@ -237,7 +237,7 @@ def search_traces(spark, sf) -> tuple[DataFrame, DataFrame]:
         )
     )
     lines = printed.select(F.col("query_id").alias("question_id"), "pos", event.alias("line"))
-    docs = evidence_documents(spark, sf).groupBy("query_id").agg(F.collect_set("path").alias("docs"))
+    docs = evidence_documents(spark, sf).groupBy("query_id").agg(F.array(F.min("path")).alias("docs"))
     turns = F.array(F.array(F.substring("text", 1, 60)), F.array(F.substring("text", 61, 60)))
     evidence = (
         C.read_table(spark, sf, "benchmark")
@@ -251,7 +251,7 @@ def search_traces(spark, sf) -> tuple[DataFrame, DataFrame]:
     return lines, durable(evidence, "evidence")
 
 
-MEASURE = """evidence AS (SELECT item_id AS query_id, path FROM benchmark JOIN files ON contains(content, text)),
+MEASURE = """evidence AS (SELECT item_id AS query_id, min(path) AS path FROM benchmark JOIN files ON contains(content, text) GROUP BY item_id),
   pages AS (SELECT p.query_id, count(*) AS listed, count(*) FILTER (p.path IN (SELECT path FROM evidence e WHERE e.query_id = p.query_id)) AS found FROM page p GROUP BY p.query_id)"""
 
 

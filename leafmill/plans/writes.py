@@ -250,15 +250,16 @@ def _(spark, sf):
     return result.calls
 
 
-@query("summary_unchanged_calls", "SELECT 0::BIGINT AS calls, 0::BIGINT AS stale")
+@query("summary_unchanged_calls", "SELECT 'calls' AS what, 0::BIGINT AS n UNION ALL SELECT 'stale', 0")
 def _(spark, sf):
     """A write of equal text makes paths stale, but no input changes."""
     corpus = files(spark, sf)
     first = S.rollup(corpus, "zh").summaries
     stale = S.invalidate(first, corpus.select("path", F.lit(False).alias("deleted")), "zh")
     result = S.rollup(corpus, "zh", stale)
-    return result.calls.agg(F.count(F.lit(1)).cast("int").alias("calls")).crossJoin(
-        F.broadcast(result.summaries.agg(F.count_if(F.col("status") != "ready").cast("int").alias("stale")))
+    called = result.calls.agg(F.lit("calls").alias("what"), F.count(F.lit(1)).alias("n"))
+    return called.unionByName(
+        result.summaries.agg(F.lit("stale").alias("what"), F.count_if(F.col("status") != "ready").alias("n"))
     )
 
 

@@ -14,6 +14,8 @@ from ..functions import paths as P
 # Fixed value: the delay between the last write of a burst and its job.
 DELAY_SECONDS = 2
 LATENESS = "10 minutes"
+# Slots (of one delay each) that one window handles at most.
+CHUNK_SLOTS = 50_000
 
 
 def touched_paths(writes: DataFrame) -> DataFrame:
@@ -40,24 +42,40 @@ def bursts(writes: DataFrame, delay: float = DELAY_SECONDS) -> DataFrame:
         .groupBy("path", "slot")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
-    by_time = Window.partitionBy("path").orderBy("slot")
-    gap = F.col("first") - F.lag("last").over(by_time)
-    starts = F.when(gap.isNull() | (gap > micros), 1).otherwise(0)
+    # Bursts inside chunks of time first; then only the outer bursts of each chunk can
+    # still join over a chunk border.  No window holds the whole history of a hot path.
+    slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
+    inner = _merge(slots, ["path", "chunk"], micros)
+    of_chunk = Window.partitionBy("path", "chunk")
+    inner = inner.withColumn("edge", (F.col("burst") == 1) | (F.col("burst") == F.max("burst").over(of_chunk)))
+    joined = _merge(inner.filter("edge").drop("burst"), ["path"], micros)
+    columns = ["path", "first", "last", "n"]
     return (
-        slots.withColumn("start", starts)
-        .withColumn("burst", F.sum("start").over(by_time))
-        .groupBy("path", "burst")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("writes"))
+        inner.filter("not edge").select(*columns)
+        .unionByName(joined.select(*columns))
         .select(
             "path",
             F.timestamp_micros("first").alias("first_write"),
             F.timestamp_micros("last").alias("last_write"),
-            "writes",
+            F.col("n").alias("writes"),
             F.timestamp_micros(F.col("last") + micros).alias("due"),
         )
     )
 
 
+def _merge(intervals: DataFrame, keys: list[str], micros: int) -> DataFrame:
+    """Join intervals (first, last, n) of each key whose distance is within the delay."""
+    by_time = Window.partitionBy(*keys).orderBy("first")
+    gap = F.col("first") - F.lag("last").over(by_time)
+    starts = F.when(gap.isNull() | (gap > micros), 1).otherwise(0)
+    return (
+        intervals.withColumn("start", starts)
+        .withColumn("burst", F.sum("start").over(by_time))
+        .groupBy(*keys, "burst")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    )
+
+
 def debounce(writes: DataFrame, delay: str = f"{DELAY_SECONDS} seconds", lateness: str = LATENESS) -> DataFrame:
     """The same bursts for a write stream, emitted once the watermark passes them.
 
