@@ -4,6 +4,7 @@ and one outcome per request, as if the requests ran one after the other by ``seq
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as H
 from ..functions import paths as P
 from ..functions import text as X
+from ..functions.headers import document_problem
 from ..session import broadcast_if_small, durable, pick
 from .tree import directories
 
@@ -179,10 +181,6 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Rows come sorted by (path, seq); the first row of a path has its state.
     """
-    import hashlib
-
-    from leafmill.functions.headers import document_problem
-
     state: dict | None = None
 
     def digest(text):

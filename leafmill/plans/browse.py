@@ -142,7 +142,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = scratch_path(spark, "files")
     C.write_files(files(spark, sf), folder)
-    return C.read_files(spark, folder).filter(P.under("path", "/web")).select("path", "size", "content_hash")
+    return C.read_files(spark, folder, "/web").select("path", "size", "content_hash")
 
 
 @query(

@@ -160,5 +160,13 @@ def export_tree(files: DataFrame, folder: str) -> None:
     )
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(folder).drop("top")
+def read_files(spark: SparkSession, folder: str, scope: str = "/") -> DataFrame:
+    """A stored tree, or the part of it below a scope.
+
+    The first component of the scope prunes partitions; the prefix itself is pushed to the
+    Parquet scan, whose files are clustered by path.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(folder)
+    if scope not in ("", "/"):
+        rows = rows.filter((F.col("top") == scope.split("/")[1]) & P.under("path", scope))
+    return rows.drop("top")

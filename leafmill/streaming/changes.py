@@ -6,6 +6,7 @@ batch overwrites its own folder, so a restart does not apply it twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,11 +26,10 @@ _POSTINGS = "path string, source string, kind string, lexeme string, tf int, bat
 
 def _read(spark: SparkSession, folder: str, part: str, schema: str, before: int | None) -> DataFrame:
     """Rows of one kind of change from all batches (or those before one)."""
-    target = f"{folder}/{part}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        rows = spark.read.schema(schema).parquet(f"{folder}/{part}")
+    except AnalysisException:  # no batch has written such rows yet
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(target)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
