@@ -397,14 +397,13 @@ def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.regexp_extract_all(X.lower("content"), F.lit(_RUN), F.lit(0)))).alias("word"),
     )
     expansions = word_expansions(document_words.select("word").distinct(), terms)
-    wanted = durable(
-        terms.join(expansions, "term")
-        .groupBy("query_id", "scope", "n_terms", "word")
-        .agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("bit")),
-        "words",
-    )
+    # Documents first meet their terms, without repeats, and then the queries of the terms:
+    # a word that many queries touch does not multiply the words of the documents.
+    expansions = durable(expansions, "words")
+    pairs = document_words.join(broadcast_if_small(expansions), "word").select("path", "term").distinct()
+    wanted = terms.select("query_id", "scope", "n_terms", "term", F.expr("shiftleft(1, slot)").alias("bit"))
     return (
-        document_words.join(broadcast_if_small(wanted), "word")
+        pairs.join(broadcast_if_small(wanted), "term")
         .filter(P.under("path", F.col("scope")))
         .groupBy("query_id", "path")
         .agg(F.bit_count(F.bit_or("bit")).alias("matched"), F.first("n_terms").alias("n_terms"))
