@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+#: Tables that durable() wrote, with their paths.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -58,7 +60,18 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = (table, path)
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`durable` wrote and nobody reads any more."""
+    for table in tables:
+        _, path = _WRITTEN.pop(id(table), (None, None))
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def broadcast_if_small(
