@@ -1,8 +1,8 @@
 """Operators of training-data pipelines, each with the query that applies it."""
 
-from . import near_duplicates
+from . import byte_pairs, near_duplicates, packing, tokens
 from .common import ORACLES, QUERIES
 
-assert near_duplicates  # the imports fill the registry
+assert byte_pairs and near_duplicates and packing and tokens  # the imports fill the registry
 
 __all__ = ["ORACLES", "QUERIES"]
