@@ -1,8 +1,8 @@
 """Operators of training-data pipelines, each with the query that applies it."""
 
-from . import byte_pairs, near_duplicates, packing, quality, tokens
+from . import byte_pairs, near_duplicates, packing, personal_data, quality, tokens
 from .common import ORACLES, QUERIES
 
-assert byte_pairs and near_duplicates and packing and quality and tokens  # the imports fill the registry
+assert byte_pairs and near_duplicates and packing and personal_data and quality and tokens  # the imports fill the registry
 
 __all__ = ["ORACLES", "QUERIES"]
