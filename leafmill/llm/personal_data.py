@@ -49,10 +49,10 @@ WIDE = {
         r"(?i)[a-z0-9._%+-]{1,64}+\s?+[(\[]\s?+(?:at|@)\s?+[)\]]\s?+[a-z0-9-]{1,63}+(?:(?:\.|\s?+[(\[]\s?+dot\s?+[)\]]\s?+)[a-z0-9-]{1,63}+){1,5}+",
     ),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": (r"(?<![0-9])[0-9]{13,19}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![0-9])"),
+    "card": (r"(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![\p{L}\p{N}])"),
     "phone": (
-        r"(?<![0-9+])(?:\+|00)?[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
-        r"(?<![0-9])\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
+        r"(?<![\p{L}\p{N}+])(?:\+|00)?[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}])\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\p{L}\p{N}])",
     ),
 }
 
@@ -205,14 +205,19 @@ def found(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     base = marked.withColumns(
         {kind: F.when(F.col("marked"), base_spans(text, kind)).otherwise(F.array().cast("array<struct<s:int,e:int>>")) for kind in KINDS}
     )
-    kinds = [
-        F.transform(kind, lambda x, i=i: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-        for i, kind in enumerate(KINDS)
-    ]
+    kinds = [_numbered(F.col(kind), i) for i, kind in enumerate(KINDS)]
     wide = F.when(F.col("marked"), F.concat(*[candidates(text, kind) for kind in KINDS]))
     return base.select("row", "doc_id", *keep, F.concat(*kinds).alias("base"), wide.alias("wide"))
 
 
+def _numbered(spans: Column, number: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(number).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def count_of(spans: Column, number: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == number)).cast("long")
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
@@ -372,9 +377,7 @@ def redact(documents: DataFrame, fit: Fit | None = None) -> DataFrame:
 def op7_personal_data(spark, folder):
     """The four counts are those of the base spans."""
     rows = personal_spans(table(spark, folder, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)
-    ]
+    counts = [count_of(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return rows.select(
         "doc_id",
         *counts,
