@@ -51,7 +51,7 @@ WIDE = {
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": (r"(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![\p{L}\p{N}])"),
     "phone": (
-        r"(?<![\p{L}\p{N}+])(?:\+|00)?[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\p{L}\p{N}])",
     ),
 }
