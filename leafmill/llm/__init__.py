@@ -1,8 +1,8 @@
 """Operators of training-data pipelines, each with the query that applies it."""
 
-from . import byte_pairs, near_duplicates, order_minhash, packing, partial_matching, personal_data, quality, tokens
+from . import byte_pairs, chat, near_duplicates, order_minhash, packing, page_text, partial_matching, personal_data, quality, tokens
 from .common import ORACLES, QUERIES
 
-assert byte_pairs and near_duplicates and order_minhash and packing and partial_matching and personal_data and quality and tokens  # the imports fill the registry
+assert byte_pairs and chat and near_duplicates and order_minhash and packing and page_text and partial_matching and personal_data and quality and tokens  # the imports fill the registry
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_if_small, durable
 from .common import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,6 +151,22 @@ def quality(
     )
 
 
+def keep_good(documents: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, all columns as they are.
+
+    Rows without ``doc_id`` go: nothing can point to them.  Rows that share an id stay if one of them is kept.
+    """
+    verdicts = quality(documents, **limits).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    rejected = durable(verdicts.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "rejected")
+    return without(documents.filter(F.col("doc_id").isNotNull()), rejected)
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``: texts are only shuffled where the ids are too many to broadcast."""
+    gone = broadcast_if_small(ids.select(F.col("doc_id").alias("_gone")))
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (n_repeat_words * 100 > n_words * REPEATED_PERCENT)
 
