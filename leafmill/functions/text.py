@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the text model.
-MAX_QUERY_TERMS = 16
 PASSAGE_LENGTH = 480
 LABEL_LENGTH = 40
 
@@ -102,13 +101,14 @@ def bag_of_lower(folded: Column | str) -> Column:
     return F.when(folded.rlike(_HAN), F.concat(*found)).otherwise(_words(folded))
 
 
-def query_terms(query: Column | str, limit: int = MAX_QUERY_TERMS) -> Column:
-    """Array of the different terms of a query, in order.
+def query_terms(query: Column | str, limit: int | None = None) -> Column:
+    """Array of the different terms of a query, in order; ``limit`` keeps only the first ones.
 
     A Han run gives its overlapping pairs, or its character when it is alone.
     """
     terms = F.regexp_extract_all(lower(query), F.lit(_TERM), F.lit(1))
-    return F.slice(F.array_distinct(terms), 1, limit)
+    different = F.array_distinct(terms)
+    return different if limit is None else F.slice(different, 1, limit)
 
 
 def run_starts(sorted_tokens: str) -> Column:

@@ -99,14 +99,16 @@ def update_index(
 ) -> DataFrame:
     """Postings after a batch: rows of the touched paths go, the current ones come.
 
-    ``touched`` holds the changed and deleted paths of the batch.
+    ``touched`` holds the changed and deleted paths of the batch.  A touched document that is
+    not in ``files`` is deleted, and its summary goes too.
     """
     from ..session import broadcast_if_small, pick
 
     paths = touched.select("path").distinct()
     kept = postings.filter("source = 'text'").join(broadcast_if_small(paths), "path", "left_anti")
     fresh = text_postings(pick(files, paths), language)
-    others = postings.filter("source <> 'text'")
+    deleted = paths.join(files.select("path"), "path", "left_anti")
+    others = postings.filter("source <> 'text'").join(broadcast_if_small(deleted), "path", "left_anti")
     return kept.select(fresh.columns).unionByName(fresh).unionByName(others.select(fresh.columns))
 
 
@@ -116,15 +118,17 @@ def manifest(files: DataFrame, language: str) -> DataFrame:
 
 
 def index_status(files: DataFrame, manifest_rows: DataFrame, language: str) -> DataFrame:
-    """One row: documents in total, and those missing from the index or in another language."""
+    """One row: documents in total, those missing from the index or in another language, and
+    index entries without a document."""
     return (
-        files.select("path")
-        .join(manifest_rows.select("path", "language"), "path", "left")
+        files.select("path", F.lit(True).alias("here"))
+        .join(manifest_rows.select("path", "language"), "path", "full")
         .agg(
-            F.count(F.lit(1)).alias("total"),
+            F.count("here").alias("total"),
             F.count_if(
-                F.col("language").isNull() | (F.col("language") != F.lit(language))
+                F.col("here") & (F.col("language").isNull() | (F.col("language") != F.lit(language)))
             ).alias("stale"),
+            F.count_if(F.col("here").isNull()).alias("orphans"),
         )
     )
 

@@ -22,15 +22,12 @@ from .tree import directories
 
 # Fixed values of the search semantics.
 DEFAULT_LIMIT = 10
-MAX_LIMIT = 100
 OWN_SUMMARY_WEIGHT = 0.5
 DIRECTORY_WEIGHT = 0.25
 RESULT_DIRECTORIES = 3
-SCORE_DIRECTORIES = 20
 DOCUMENT_PASSAGES = 3
-MAX_DOCUMENT_LINES = 2000
-MAX_SEARCH_LINES = 20000
-MAX_POSITIONS = 256
+# Slots of query lexemes that fit into one long number.
+_SLOTS = 63
 
 
 @dataclass(frozen=True)
@@ -41,10 +38,10 @@ class SearchResult:
 
 
 def page_bounds(limit: int = 0, offset: int = 0) -> tuple[int, int]:
-    """Resolve a requested page: zero is the default limit, larger limits are cut."""
+    """Resolve a requested page: zero is the default limit."""
     if limit < 0 or offset < 0:
         raise InvalidParameter("limit and offset must not be negative")
-    return min(limit, MAX_LIMIT) or DEFAULT_LIMIT, offset
+    return limit or DEFAULT_LIMIT, offset
 
 
 def rank(positions: Column) -> Column:
@@ -70,7 +67,19 @@ def query_lexemes(queries: DataFrame, language: str) -> DataFrame:
 def _exploded(query_rows: DataFrame) -> DataFrame:
     return query_rows.select(
         "query_id", "scope", F.posexplode("lexemes").alias("slot", "lexeme")
-    ).select("query_id", "scope", "lexeme", F.expr("shiftleft(1, slot)").alias("bit"))
+    ).select("query_id", "scope", "lexeme", *_bits())
+
+
+def _bits() -> list[Column]:
+    """The number of the mask, and the bit in it, of a ``slot``."""
+    return [F.expr(f"slot div {_SLOTS}").alias("mask"), F.expr(f"shiftleft(1L, slot % {_SLOTS})").alias("bit")]
+
+
+def _distinct_slots(widest: int | None) -> Column:
+    """How many different slots occur in a group: one mask per 63 slots, so partial aggregates have a fixed size."""
+    masks = range(-(-max(widest or 0, 1) // _SLOTS))
+    counts = [F.coalesce(F.bit_count(F.bit_or(F.when(F.col("mask") == m, F.col("bit")))), F.lit(0)) for m in masks]
+    return sum(counts[1:], counts[0])
 
 
 def empty_queries(queries: DataFrame) -> DataFrame:
@@ -83,46 +92,57 @@ def empty_queries(queries: DataFrame) -> DataFrame:
 # --- matching --------------------------------------------------------------------
 
 
-def matches(postings: DataFrame, query_rows: DataFrame) -> DataFrame:
+def matches(postings: DataFrame, query_rows: DataFrame, most_positions: int | None = None) -> DataFrame:
     """(query_id, path, kind, matched, text_positions, summary_positions).
 
     The different lexemes of a query have one bit each, so the distinct count is a
-    fixed-size partial aggregate.
+    fixed-size partial aggregate.  ``most_positions`` caps the positions that count per lexeme.
     """
     terms = _exploded(query_rows)
     keys = ["lexeme"]
     if "bucket" in postings.columns:
         terms = terms.withColumn("bucket", bucket_of("lexeme"))
         keys.append("bucket")
-    capped = F.least(F.col("tf"), F.lit(MAX_POSITIONS)).cast("bigint")
+    positions = F.col("tf") if most_positions is None else F.least(F.col("tf"), F.lit(most_positions))
+    capped = positions.cast("bigint")
+    widest = query_rows.agg(F.max(F.size("lexemes"))).first()[0]
     return (
         postings.join(broadcast_if_small(terms), keys)
         .filter(P.under("path", F.col("scope")))
         .groupBy("query_id", "path", "kind")
         .agg(
-            F.bit_count(F.bit_or("bit")).alias("matched"),
+            _distinct_slots(widest).alias("matched"),
             F.sum(F.when(F.col("source") == "text", capped).otherwise(0)).alias("text_positions"),
             F.sum(F.when(F.col("source") == "summary", capped).otherwise(0)).alias("summary_positions"),
         )
     )
 
 
-def directory_candidates(matched: DataFrame) -> DataFrame:
-    """The best directories of each query by their own summary; the root is not one."""
+def directory_candidates(matched: DataFrame, most: int | None = None) -> DataFrame:
+    """The directories of each query, the best by their own summary first; the root is not one.
+
+    ``most`` keeps only so many per query.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("rank"), "path")
-    return (
+    placed = (
         matched.filter("kind = 'dir' and path <> '/'")
         .select("query_id", "path", "matched", rank(F.col("summary_positions")).alias("rank"))
         .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= SCORE_DIRECTORIES)
     )
+    return placed if most is None else placed.filter(F.col("place") <= most)
+
+
+def live(matched: DataFrame, files: DataFrame) -> DataFrame:
+    """Matches without the documents that are not among ``files`` any more; directories stay."""
+    rows = matched.join(files.select("path", F.lit(True).alias("_here")), "path", "left")
+    return rows.filter("kind <> 'file' or _here").select(*matched.columns)
 
 
 def found_documents(matched: DataFrame, lifting: DataFrame | None = None) -> DataFrame:
     """(query_id, path, matched, score) of all candidate documents.
 
-    ``lifting`` holds at most twenty directories per query; they travel as one array per
-    query, and the best one above a document raises its score.
+    The best of the ``lifting`` directories above a document raises its score; documents meet
+    them by equality with their ancestors.
     """
     rows = matched.filter("kind = 'file'").select(
         "query_id",
@@ -135,20 +155,18 @@ def found_documents(matched: DataFrame, lifting: DataFrame | None = None) -> Dat
     )
     if lifting is None:
         return rows
-    per_query = lifting.groupBy("query_id").agg(
-        F.collect_list(F.struct("path", "rank")).alias("lifts")
-    )
-    best = F.array_max(
-        F.transform(
-            F.filter("lifts", lambda d: F.startswith(F.col("path"), F.concat(d.path, F.lit("/")))),
-            lambda d: d.rank,
-        )
+    lifts = lifting.select("query_id", F.col("path").alias("above"), "rank")
+    best = (
+        rows.select("query_id", "path", F.explode(P.ancestors("path")).alias("above"))
+        .join(lifts, ["query_id", "above"])
+        .groupBy("query_id", "path")
+        .agg(F.max("rank").alias("best"))
     )
-    return rows.join(per_query, "query_id", "left").select(
+    return rows.join(best, ["query_id", "path"], "left").select(
         "query_id",
         "path",
         "matched",
-        (F.col("score") + F.lit(DIRECTORY_WEIGHT) * F.coalesce(best, F.lit(0.0))).alias("score"),
+        (F.col("score") + F.lit(DIRECTORY_WEIGHT) * F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
@@ -171,13 +189,16 @@ def result_totals(found: DataFrame, queries: DataFrame) -> DataFrame:
     ).select("query_id", "status", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
 
 
-def result_directories(candidates: DataFrame, files: DataFrame, summaries: DataFrame) -> DataFrame:
-    """The best directories that still hold documents; an abstract only when it is ready."""
+def result_directories(
+    candidates: DataFrame, files: DataFrame, summaries: DataFrame, shown: int | None = RESULT_DIRECTORIES
+) -> DataFrame:
+    """The best ``shown`` (None: all) directories that still hold documents; an abstract only when it is ready."""
     order = Window.partitionBy("query_id").orderBy("place")
+    placed = candidates.join(directories(files).select("path"), "path", "left_semi").withColumn(
+        "n", F.row_number().over(order)
+    )
     return (
-        candidates.join(directories(files).select("path"), "path", "left_semi")
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= RESULT_DIRECTORIES)
+        (placed if shown is None else placed.filter(F.col("n") <= shown))
         .join(_abstracts(summaries), "path", "left")
         .select("query_id", "n", "path", F.coalesce("abstract", F.lit("")).alias("abstract"))
     )
@@ -204,50 +225,35 @@ def _lines_with(texts: str) -> Column:
     return F.transform(kept, lambda p: p.line)
 
 
-def page_lines(page: DataFrame, files: DataFrame, query_rows: DataFrame) -> DataFrame:
-    """(query_id, path, place, candidates, taken, lines) for the documents of a page.
+def page_lines(
+    page: DataFrame, files: DataFrame, query_rows: DataFrame, most_lines: int | None = None
+) -> DataFrame:
+    """(query_id, path, place, lexemes, lines, cut) for the documents of a page.
 
-    A line is a candidate when it contains the first two characters of a term.  Each
-    document gives at most 2000 candidates and each search at most 20000 in page order.
+    All lines of a document are candidates; ``most_lines`` takes only its first ones, and
+    ``cut`` tells whether lines were left out.
     """
     content = H.parse_headers(pick(files, page).select("path", "content"))
-    terms = query_rows.select(
-        "query_id", "lexemes", F.transform("terms", lambda t: F.substring(t, 1, 2)).alias("starts")
-    )
     rows = (
         page.select("query_id", "path", "place")
-        .join(broadcast_if_small(terms), "query_id")
-        .join(_lower_lines(content), "path")
+        .join(broadcast_if_small(query_rows.select("query_id", "lexemes")), "query_id")
+        .join(content.select("path", X.passages("body").alias("lines")), "path")
     )
-    rows = rows.select(
-        "query_id",
-        "path",
-        "place",
-        "lexemes",
-        _lines_with("starts").alias("lines"),
-    ).withColumn("candidates", F.size("lines"))
-    own = F.least(F.col("candidates"), F.lit(MAX_DOCUMENT_LINES))
-    earlier = F.coalesce(
-        F.sum(own).over(
-            Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    budget = F.greatest(F.lit(MAX_SEARCH_LINES) - earlier, F.lit(0))
-    return rows.withColumn("taken", F.least(own, budget).cast("int"))
+    if most_lines is None:
+        return rows.withColumn("cut", F.lit(False))
+    return rows.withColumn("cut", F.size("lines") > most_lines).withColumn("lines", F.slice("lines", 1, most_lines))
 
 
-def passages(page: DataFrame, files: DataFrame, query_rows: DataFrame, language: str) -> DataFrame:
+def passages(
+    page: DataFrame, files: DataFrame, query_rows: DataFrame, language: str, most_lines: int | None = None
+) -> DataFrame:
     """(query_id, path, passages, more_lines, more_lines_min, snippet) of a page.
 
     Lines rank by the number of different lexemes, then by matching positions, then by
     their order; the best three are shown in document order.
     """
-    lines = page_lines(page, files, query_rows)
-    taken = lines.select(
-        "query_id", "path", "lexemes",
-        F.posexplode(F.slice("lines", F.lit(1), F.col("taken"))).alias("n", "line"),
-    )
+    lines = page_lines(page, files, query_rows, most_lines)
+    taken = lines.select("query_id", "path", "lexemes", F.posexplode("lines").alias("n", "line"))
     wanted = lexemes(X.token_bag("line"), language)
     hits = F.filter("line_lexemes", lambda t: F.array_contains("lexemes", t))
     ranked = (
@@ -276,9 +282,7 @@ def passages(page: DataFrame, files: DataFrame, query_rows: DataFrame, language:
             (F.col("found") - F.size("shown")).alias("more_lines"),
         )
     )
-    flags = lines.select(
-        "query_id", "path", (F.col("candidates") > F.col("taken")).alias("more_lines_min")
-    )
+    flags = lines.select("query_id", "path", F.col("cut").alias("more_lines_min"))
     return flags.join(best, ["query_id", "path"], "left").select(
         "query_id", "path",
         F.coalesce("passages", F.array().cast("array<string>")).alias("passages"),
@@ -300,9 +304,12 @@ def search(
     limit: int = 0,
     offset: int = 0,
     manifest: DataFrame | None = None,
+    most_lines: int | None = None,
 ) -> SearchResult:
     """Hits with passages, directories and totals for a table of queries.
 
+    Postings of documents that are not in ``files`` any more count nowhere.
+
     The candidate table and the page are written once to the shared folder; the totals, the
     page and the passages read them from there.
     """
@@ -310,11 +317,11 @@ def search(
     if manifest is not None and index_status(files, manifest, language).first().stale > 0:
         raise IndexStale("the index has another language or lacks documents; rebuild it")
     query_rows = durable(query_lexemes(queries, language), "queries")
-    matched = durable(matches(postings, query_rows), "matches")
+    matched = durable(live(matches(postings, query_rows), files), "matches")
     lifting = directory_candidates(matched) if summaries is not None else None
     found = found_documents(matched, lifting)
     page = durable(top_page(found, limit, offset), "page")
-    shown = passages(page, files, query_rows, language)
+    shown = passages(page, files, query_rows, language, most_lines)
     attributes = pick(files, page).select("path", "size", "mtime")
     hits = page.join(broadcast_if_small(attributes), "path").join(
         shown, ["query_id", "path"], "left"
@@ -392,6 +399,7 @@ def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
     terms = rows.select(
         "query_id", "scope", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "term")
     )
+    widest = rows.agg(F.max(F.size("terms"))).first()[0]
     document_words = files.select(
         "path",
         F.explode(F.array_distinct(F.regexp_extract_all(X.lower("content"), F.lit(_RUN), F.lit(0)))).alias("word"),
@@ -401,12 +409,12 @@ def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
     # a word that many queries touch does not multiply the words of the documents.
     expansions = durable(expansions, "words")
     pairs = document_words.join(broadcast_if_small(expansions), "word").select("path", "term").distinct()
-    wanted = terms.select("query_id", "scope", "n_terms", "term", F.expr("shiftleft(1, slot)").alias("bit"))
+    wanted = terms.select("query_id", "scope", "n_terms", "term", *_bits())
     return (
         pairs.join(broadcast_if_small(wanted), "term")
         .filter(P.under("path", F.col("scope")))
         .groupBy("query_id", "path")
-        .agg(F.bit_count(F.bit_or("bit")).alias("matched"), F.first("n_terms").alias("n_terms"))
+        .agg(_distinct_slots(widest).alias("matched"), F.first("n_terms").alias("n_terms"))
         .select("query_id", "path", "matched", (F.col("matched") / F.col("n_terms")).alias("rank"))
     )
 

@@ -143,12 +143,7 @@ summaries AS (
 
 TERMS = r"""
 terms AS (
-  SELECT query_id, term FROM (
-    SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) AS k
-    FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos
-          FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS t FROM benchmark))
-    GROUP BY item_id, term)
-  WHERE k <= 16
+  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS term FROM benchmark
 )"""
 
 TEXT_POSTINGS = r"""
@@ -170,28 +165,29 @@ summary_postings AS (
 MATCHES = """
 matches AS (
   SELECT query_id, path, kind, count(DISTINCT lexeme) AS matched,
-         coalesce(sum(least(tf, 256)) FILTER (source = 'text'), 0) AS text_positions,
-         coalesce(sum(least(tf, 256)) FILTER (source = 'summary'), 0) AS summary_positions
+         coalesce(sum(tf) FILTER (source = 'text'), 0) AS text_positions,
+         coalesce(sum(tf) FILTER (source = 'summary'), 0) AS summary_positions
   FROM (SELECT * FROM text_postings UNION ALL SELECT * FROM summary_postings) JOIN terms ON lexeme = term
   GROUP BY query_id, path, kind
 )"""
 
 CANDIDATES = """
 candidates AS (
-  SELECT * FROM (
-    SELECT query_id, path, matched, summary_positions / (summary_positions + 10.0) AS rank,
-           row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, summary_positions DESC, path) AS place
-    FROM matches WHERE kind = 'dir' AND path <> '/')
-  WHERE place <= 20
+  SELECT query_id, path, matched, summary_positions / (summary_positions + 10.0) AS rank,
+         row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, summary_positions DESC, path) AS place
+  FROM matches WHERE kind = 'dir' AND path <> '/'
 )"""
 
 FOUND = """
+lifts AS (
+  SELECT m.query_id, m.path, max(c.rank) AS lift FROM matches m JOIN candidates c
+    ON c.query_id = m.query_id AND starts_with(m.path, c.path || '/') WHERE m.kind = 'file' GROUP BY ALL
+),
 found AS (
   SELECT m.query_id, m.path, m.matched,
          text_positions / (text_positions + 10.0) + 0.5 * (summary_positions / (summary_positions + 10.0))
-           + 0.25 * coalesce((SELECT max(c.rank) FROM candidates c
-                              WHERE c.query_id = m.query_id AND starts_with(m.path, c.path || '/')), 0) AS score
-  FROM matches m WHERE m.kind = 'file'
+           + 0.25 * coalesce(l.lift, 0) AS score
+  FROM matches m LEFT JOIN lifts l ON l.query_id = m.query_id AND l.path = m.path WHERE m.kind = 'file'
 )"""
 
 SEARCH = ",".join(

@@ -195,7 +195,7 @@ def _(spark, sf):
     return evidence_documents(spark, sf)
 
 
-RECALL = f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(least(tf, 256)) AS n FROM text_postings JOIN terms ON lexeme = term GROUP BY ALL),
+RECALL = f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(tf) AS n FROM text_postings JOIN terms ON lexeme = term GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, path) AS place FROM m),
     evidence AS (SELECT item_id AS query_id, path FROM benchmark JOIN files ON contains(content, text)),
     best AS (SELECT e.query_id, min(place) FILTER (place <= 10) AS best FROM evidence e LEFT JOIN placed p ON p.query_id = e.query_id AND p.path = e.path GROUP BY e.query_id)"""

@@ -220,13 +220,14 @@ def _(spark, sf):
 
 @query(
     "index_status",
-    f"""WITH {FILES} SELECT count(*) AS total, count(*) FILTER (size % 5 = 0 OR size % 5 = 1) AS stale FROM files""",
+    f"""WITH {FILES} SELECT count(*) AS total, count(*) FILTER (size % 5 = 0 OR size % 5 = 1) AS stale, 2::BIGINT AS orphans FROM files""",
 )
 def _(spark, sf):
     corpus = files(spark, sf)
     covered = I.manifest(corpus.filter("size % 5 <> 0"), "zh").join(corpus.select("path", "size"), "path")
     other = covered.withColumn("language", F.when(F.col("size") % 5 == 1, F.lit("en")).otherwise(F.col("language")))
-    return I.index_status(corpus, other, "zh")
+    gone = spark.createDataFrame([("/gone/a.md", "zh"), ("/gone/b.md", "zh")], "path string, language string")
+    return I.index_status(corpus, other.select("path", "language").unionByName(gone), "zh")
 
 
 @query("index_settings", f"WITH {FILES} SELECT 'zh' AS language, true AS summary_enabled, count(*) AS total, 0::BIGINT AS stale FROM files")
@@ -247,7 +248,7 @@ def _matched(spark, sf, with_summaries: bool = True):
 
 
 TOP_TEXT = f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (
-      SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(least(tf, 256)) AS n FROM text_postings JOIN terms ON lexeme = term GROUP BY ALL),
+      SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(tf) AS n FROM text_postings JOIN terms ON lexeme = term GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, path) AS place FROM m)"""
 
 
@@ -262,7 +263,7 @@ def _(spark, sf):
 
 @query(
     "search_page",
-    f"{TOP_TEXT} SELECT query_id, place, path FROM placed WHERE place > 7 AND place <= 107",
+    f"{TOP_TEXT} SELECT query_id, place, path FROM placed WHERE place > 7 AND place <= 507",
 )
 def _(spark, sf):
     found = S.found_documents(_matched(spark, sf, with_summaries=False))
@@ -283,7 +284,7 @@ def _(spark, sf):
 @query(
     "search_in_scope",
     f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (
-      SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(least(tf, 256))::BIGINT AS n FROM text_postings JOIN terms ON lexeme = term
+      SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(tf)::BIGINT AS n FROM text_postings JOIN terms ON lexeme = term
       WHERE starts_with(path, '/corpus/src' || (query_id % 5) || '/') GROUP BY ALL)
       SELECT query_id, path, matched, n FROM m""",
 )
@@ -340,22 +341,17 @@ def _(spark, sf):
 
 SHOWN = f"""WITH {SEARCH}, {PAGE}, {LINES}, {PASSAGES},
   numbered AS (SELECT path, passage, row_number() OVER (PARTITION BY path ORDER BY line, part) AS n FROM passages WHERE path IN (SELECT path FROM page)),
-  starts AS (SELECT query_id, list(DISTINCT left(term, 2)) AS starts, list(term) AS terms FROM terms GROUP BY query_id),
-  cand AS (SELECT p.query_id, p.path, p.place, terms, n, passage, row_number() OVER (PARTITION BY p.query_id, p.path ORDER BY n) AS k
-     FROM page p JOIN starts s ON s.query_id = p.query_id JOIN numbered l ON l.path = p.path
-     WHERE len(list_filter(starts, lambda x: contains(lower(passage), x))) > 0),
-  counts AS (SELECT query_id, path, place, count(*) AS c FROM cand GROUP BY ALL),
-  budget AS (SELECT query_id, path, c, least(least(c, 2000), greatest(20000 - coalesce(sum(least(c, 2000)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS taken FROM counts),
-  scored AS (SELECT c.query_id, c.path, k, passage, list_filter(regexp_extract_all(lower(passage), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: list_contains(terms, t)) AS hits
-     FROM cand c JOIN budget b ON b.query_id = c.query_id AND b.path = c.path WHERE k <= taken),
+  wanted AS (SELECT query_id, list(term) AS terms FROM terms GROUP BY query_id),
+  scored AS (SELECT p.query_id, p.path, n AS k, passage, list_filter(regexp_extract_all(lower(passage), '[\\p{{L}}\\p{{Nd}}]+'), lambda t: list_contains(terms, t)) AS hits
+     FROM page p JOIN wanted w ON w.query_id = p.query_id JOIN numbered l ON l.path = p.path),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY len(list_distinct(hits)) DESC, len(hits) DESC, k) AS best, count(*) OVER (PARTITION BY query_id, path) AS found_lines FROM scored WHERE len(hits) > 0),
   shown AS (SELECT query_id, path, string_agg(passage, chr(10) ORDER BY k) AS snippet, any_value(found_lines) - count(*) AS more_lines FROM ranked WHERE best <= 3 GROUP BY ALL)"""
 
 
 @query(
     "search_passages",
-    f"""{SHOWN} SELECT p.query_id, p.place, p.path, coalesce(s.snippet, '') AS snippet, coalesce(s.more_lines, 0) AS more_lines, coalesce(b.c > b.taken, false) AS more_lines_min
-        FROM page p LEFT JOIN shown s ON s.query_id = p.query_id AND s.path = p.path LEFT JOIN budget b ON b.query_id = p.query_id AND b.path = p.path""",
+    f"""{SHOWN} SELECT p.query_id, p.place, p.path, coalesce(s.snippet, '') AS snippet, coalesce(s.more_lines, 0) AS more_lines, false AS more_lines_min
+        FROM page p LEFT JOIN shown s ON s.query_id = p.query_id AND s.path = p.path""",
 )
 def _(spark, sf):
     result = full_search(spark, sf)
@@ -381,6 +377,21 @@ def full_search(spark, sf, **options) -> S.SearchResult:
     return S.search(postings, corpus, benchmark_queries(spark, sf), "zh", summaries=summaries, **options)
 
 
+@query(
+    "search_after_delete",
+    f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (
+      SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(tf) AS n FROM text_postings JOIN terms ON lexeme = term WHERE path NOT LIKE '%2.md' AND path NOT LIKE '%5.md' GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, path) AS place, count(*) OVER (PARTITION BY query_id) AS total FROM m)
+    SELECT query_id, place, path, matched, total FROM placed WHERE place <= 10""",
+)
+def _(spark, sf):
+    corpus = files(spark, sf)
+    left = corpus.filter(~F.col("path").endswith("2.md") & ~F.col("path").endswith("5.md"))
+    result = S.search(I.text_postings(corpus, "zh"), left, benchmark_queries(spark, sf), "zh")
+    totals = result.totals.select("query_id", "total")
+    return result.hits.select("query_id", "place", "path", "matched").join(totals, "query_id")
+
+
 @query("search_english")
 def _(spark, sf):
     corpus = files(spark, sf)
@@ -485,12 +496,9 @@ def _(spark, sf):
 
 @query(
     "aggregate_ordered_arrays",
-    f"""WITH {FILES} SELECT parent, string_agg(name, ',' ORDER BY size DESC, path) AS names FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, path) AS n FROM files) WHERE n <= 3 GROUP BY parent""",
+    f"""WITH {FILES} SELECT parent, string_agg(name, ',' ORDER BY size DESC, path) AS names FROM files GROUP BY parent""",
 )
 def _(spark, sf):
     rows = files(spark, sf).select(P.parent("path").alias("parent"), P.name("path").alias("name"), "size", "path")
-    order = Window.partitionBy("parent").orderBy(F.desc("size"), "path")
-    top = rows.withColumn("n", F.row_number().over(order)).filter("n <= 3")
-    return top.groupBy("parent").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda r: r["name"]), ",").alias("names")
-    )
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "path", "name")))
+    return rows.groupBy("parent").agg(F.array_join(F.transform(ordered, lambda r: r["name"]), ",").alias("names"))
