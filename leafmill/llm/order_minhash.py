@@ -138,6 +138,8 @@ def edited(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     order = durable(followers(texts), "followers")
+    alone = texts.filter("doc_id is null")
+    texts = texts.filter("doc_id is not null")  # so both joins read one shuffle of the texts
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("cut"))
     heads = (
         texts.join(wanted, "doc_id")
@@ -146,7 +148,8 @@ def edited(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.min("head").alias("head"))
     )
     cut = F.floor(F.length("text") / 4).cast("int")
-    joined = texts.join(heads, "doc_id", "left").withColumn("cut", cut)
+    joined = texts.join(heads, "doc_id", "left").unionByName(alone.withColumn("head", F.lit(None).cast("string")))
+    joined = joined.withColumn("cut", cut)
     new = F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(coalesce(head, ''), 1, cut)"))
     return joined.select("doc_id", "text", new.alias("edited")), order
 
