@@ -21,6 +21,7 @@ rows count and are scored one by one.  Other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -233,6 +234,19 @@ def _sum_grams(scores: DataFrame, order: int):
     return run
 
 
+def frequent_words(words: DataFrame, most: int, longest: int = FREQUENT_BYTES) -> DataFrame:
+    """The words of the highest frequency classes that hold at most ``most`` short words together.
+
+    Sixteen classes per doubling; their sizes come from a count with a partial phase.
+    """
+    level = F.floor(F.log2(F.col("c") + 1) * 16)
+    short = words.filter(F.octet_length("word") <= longest).withColumn("level", level)
+    sizes = sorted(((r["level"], r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)
+    upto = itertools.accumulate(n for _, n in sizes)
+    taken = [k for (k, _), n in zip(sizes, upto, strict=True) if n <= most]
+    return short.filter(F.col("level") >= taken[-1]).drop("level") if taken else words.limit(0)
+
+
 def score_documents(documents: DataFrame, order: int = ORDER, frequent: int = FREQUENT_WORDS) -> DataFrame:
     """Per row of ``documents``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
@@ -240,16 +254,17 @@ def score_documents(documents: DataFrame, order: int = ORDER, frequent: int = FR
     total, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     words = durable(word_scores(counts, order), "words")
     divisor = math.log10(total + different + 1)
-    often = (
-        words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(frequent).collect()
-    )  # bounded by the number of words and their bytes
+    often = frequent_words(words, frequent).toArrow()  # bounded by the number of words and their bytes
     known = spark.sparkContext.broadcast(
-        {bytes(r["word"]): (int(r["c"] > 0), math.log10(r["c"] + 1) - divisor, r["score"]) for r in often}
+        (often.column("word").to_pylist(), often.column("c").to_numpy(), often.column("score").to_numpy())
     )
+    del often
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per document with the sums over frequent words, one row per other word of a document."""
-        of, row = known.value, TaskContext.get().partitionId() << 33
+        common, c, scores = known.value
+        values = zip((c > 0).astype(int).tolist(), (np.log10(c + 1) - divisor).tolist(), scores.tolist(), strict=True)
+        of, row = dict(zip(common, values, strict=True)), TaskContext.get().partitionId() << 33
         for rows, texts in text_steps(batches):
             out: list[list] = [[] for _ in _PARTS]
             for doc_id, text in zip(rows.column(0).to_pylist(), texts, strict=True):
