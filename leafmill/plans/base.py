@@ -52,17 +52,17 @@ def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_texts(corpus: DataFrame) -> DataFrame:
-    """Summary rows made of the first characters of documents, and of each leaf directory's
-    smallest such text."""
+    """Summary rows made of the first and the last line of documents, and of each leaf directory's
+    smallest first line."""
     documents = corpus.select(
         "path",
         F.lit("file").alias("kind"),
-        F.substring("content", 1, 80).alias("abstract"),
-        F.substring("content", 81, 120).alias("overview"),
+        F.substring_index("content", "\n", 1).alias("abstract"),
+        F.substring_index("content", "\n", -1).alias("overview"),
         F.when(F.col("size") % 3 == 0, F.lit("stale")).otherwise(F.lit("ready")).alias("status"),
     )
     dirs = corpus.groupBy(P.parent("path").alias("path")).agg(
-        F.min(F.substring("content", 1, 120)).alias("abstract")
+        F.min(F.substring_index("content", "\n", 1)).alias("abstract")
     )
     return documents.unionByName(
         dirs.select(
@@ -133,10 +133,10 @@ lines AS (
 
 SUMMARIES = """
 summaries AS (
-  SELECT path, 'file' AS kind, left(content, 80) AS abstract, substr(content, 81, 120) AS overview,
+  SELECT path, 'file' AS kind, split_part(content, chr(10), 1) AS abstract, split_part(content, chr(10), -1) AS overview,
          CASE WHEN size % 3 = 0 THEN 'stale' ELSE 'ready' END AS status, parent FROM files
   UNION ALL
-  SELECT parent, 'dir', min(left(content, 120)), '', CASE WHEN length(parent) % 2 = 0 THEN 'stale' ELSE 'ready' END,
+  SELECT parent, 'dir', min(split_part(content, chr(10), 1)), '', CASE WHEN length(parent) % 2 = 0 THEN 'stale' ELSE 'ready' END,
          CASE WHEN parent NOT LIKE '/%/%' THEN '/' ELSE regexp_replace(parent, '/[^/]*$', '') END
   FROM files GROUP BY parent
 )"""

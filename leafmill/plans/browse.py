@@ -147,15 +147,17 @@ def _(spark, sf):
 
 @query(
     "source_latest_records",
-    """SELECT user_id || '/' || event_type AS id, min(event_id) AS first_pos, max_by(value, event_id) AS value,
+    """SELECT user_id || '/' || event_type AS id, max(event_id) AS seq, max_by(value, event_id) AS value,
        max_by(props, event_id) AS props FROM events GROUP BY user_id, event_type""",
 )
 def _(spark, sf):
+    """The events as a log of several files in a folder, read back by the record reader."""
     log = C.read_table(spark, sf, "events").select(
-        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("id"),
-        F.col("event_id").alias("pos"), "value", "props",
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("id"), F.col("event_id").alias("seq"), "value", "props"
     )
-    return R.latest_records(log).select("id", F.col("pos").alias("first_pos"), "value", "props")
+    folder = scratch_path(spark, "log")
+    log.repartitionByRange("seq").sortWithinPartitions("seq").write.json(folder)
+    return R.read_records(spark, folder, "id string, seq bigint, value double, props string").drop("pos")
 
 
 @query("source_fill_parent", f"{TREE} SELECT path, parent FROM nodes")

@@ -220,7 +220,7 @@ def search_traces(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(trace lines, evidence): the printed search page of each benchmark query as a tool
     result, after an empty result for every third query.
 
-    The evidence turns of a query are the start and the middle of its text; its evidence
+    The evidence turns of a query are the lines of its text; its evidence
     document is the first one (by path) that contains the whole text.
     """
     hits = durable(full_search(spark, sf).hits, "hits")
@@ -238,7 +238,7 @@ def search_traces(spark, sf) -> tuple[DataFrame, DataFrame]:
     )
     lines = printed.select(F.col("query_id").alias("question_id"), "pos", event.alias("line"))
     docs = evidence_documents(spark, sf).groupBy("query_id").agg(F.array(F.min("path")).alias("docs"))
-    turns = F.array(F.array(F.substring("text", 1, 60)), F.array(F.substring("text", 61, 60)))
+    turns = F.transform(F.split("text", "\n"), lambda line: F.array(line))
     evidence = (
         C.read_table(spark, sf, "benchmark")
         .select(F.col("item_id").alias("query_id"), turns.alias("turns"))

@@ -12,17 +12,23 @@ RECORD_SCHEMA = (
 )
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line): the lines of text files with a position that follows file order.
+def read_log_lines(spark: SparkSession, path: str, by: str = "name") -> DataFrame:
+    """(file, pos, line): the lines of text files with a position that follows their order.
 
-    The position is (start of the file block, running number), so it does not depend on how
-    the files are split into tasks.
+    Files follow each other by name, or by modification time (then name) with ``by="time"``.  The position is
+    (place of the file, start of the file block, running number), so it does not depend on
+    how files are put together or split into tasks.
     """
+    if by not in ("name", "time"):
+        raise ValueError("by must be name or time")
+    time = F.col("_metadata.file_modification_time") if by == "time" else F.lit(None).cast("timestamp")
     return (
         spark.read.text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.struct(
+                time.alias("time"),
+                F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
             ).alias("pos"),
@@ -32,9 +38,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, by: str = "name") -> DataFrame:
     parsed = F.from_json("line", schema, {"mode": "FAILFAST"})
-    return latest_records(read_log_lines(spark, path).select("pos", parsed.alias("r")).select("pos", "r.*"))
+    return latest_records(read_log_lines(spark, path, by).select("pos", parsed.alias("r")).select("pos", "r.*"))
 
 
 def latest_records(records: DataFrame, key: str = "id", position: str = "pos") -> DataFrame:
