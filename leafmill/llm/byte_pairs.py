@@ -17,6 +17,7 @@ Columns other than ``doc_id`` and ``text`` (or ``ids``) are not looked at; repea
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The tokens that the merges leave of a short byte string, one merge after the other."""
+def merge(data: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
+    """The tokens that the merges (of ranks under ``below``) leave of a short byte string, one merge after the other."""
+    below = len(ranks) if below is None else below
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks)), i) for i in range(len(parts) - 1))
-        if rank == len(ranks):
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+        if rank >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -53,8 +55,8 @@ class State(dict):
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pairs: int = 400_000):
+        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token: list[int | None] = [None]
@@ -67,11 +69,14 @@ class Transducer:
                     self.token.append(None)
                 node = self.child[edge]
             self.token[node] = rank
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple] = {}
         self.reset()
 
     def reset(self) -> None:
+        """Throw all states away; they point to each other, so the collector has to look for them."""
         self.states: dict[tuple, State] = {}
-        self.pairs: dict[tuple, bool] = {}
+        gc.collect()
         self.start = self.state(None, (((), 0),))
 
     def state(self, last: int | None, readings: tuple) -> State:
@@ -81,31 +86,79 @@ class Transducer:
             made.last, made.readings = last, readings
         return self.states[key]
 
+    def spines(self, token: int) -> tuple[list, list] | None:
+        """The parts at a token's left and right end while it is merged: (bytes, rank that ends the part).
+
+        None for a token that the merges never make.
+        """
+        if token not in self.edges:
+            whole, never = self.bytes_of[token], len(self.ranks)
+            if len(whole) == 1:
+                found = [(whole, never)], [(whole, never)]
+            else:
+                parts = merge(whole, self.ranks, token)
+                left, right = (self.spines(parts[0]), self.spines(parts[-1])) if len(parts) == 2 else (None, None)
+                found = None
+                if left and right:
+                    found = tuple([*side[:-1], (side[-1][0], token), (whole, never)] for side in (left[0], right[1]))
+            self.edges[token] = found
+        return self.edges[token]
+
     def stand(self, left: int | None, right: int) -> bool:
-        """Whether ``right`` may follow ``left`` (None: may begin a piece)."""
-        pair = (left, right)
+        """Whether ``right`` may follow ``left`` (None: may begin a piece).
+
+        Merges happen in the order of their ranks, so the two tokens come about side by side unless
+        the parts that touch each other at some time have a merge that is due before either changes.
+        Of equal merges the one further left is first.
+        """
+        pair = -right - 1 if left is None else left << 32 | right
         if pair not in self.pairs:
-            whole = [right] if left is None else [left, right]
-            self.pairs[pair] = merge(b"".join(self.bytes_of[t] for t in whole), self.ranks) == whole
+            if len(self.pairs) >= self.max_pairs:
+                self.pairs.clear()
+            self.pairs[pair] = self.apart(left, right)
         return self.pairs[pair]
 
+    def apart(self, left: int | None, right: int) -> bool:
+        right_spine = self.spines(right)
+        if right_spine is None or left is None:
+            return right_spine is not None
+        ends, starts = self.spines(left)[1], right_spine[0]
+        i = j = 0
+        while True:
+            (a, until_a), (b, until_b) = ends[i], starts[j]
+            due = self.ranks.get(a + b)
+            if due is not None and due < until_a and due <= until_b:
+                return False
+            if i + 1 == len(ends) and j + 1 == len(starts):
+                return True
+            if until_a <= until_b:
+                i += 1
+            else:
+                j += 1
+
     def move(self, state: State, byte: int) -> tuple[tuple, State]:
-        readings, upto_here = [], None
+        readings, upto_here, last = [], None, state.last
+        child, token_of, pairs = self.child, self.token, self.pairs
         for tokens, node in state.readings:
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
             readings.append((tokens, node))
-            token = self.token[node]
-            if upto_here is None and token is not None and self.stand(tokens[-1] if tokens else state.last, token):
-                upto_here = (*tokens, token)
-        readings.append((upto_here, 0))
+            if upto_here is None and (token := token_of[node]) is not None:
+                left = tokens[-1] if tokens else last
+                fits = pairs.get(-token - 1 if left is None else left << 32 | token)
+                if self.stand(left, token) if fits is None else fits:
+                    upto_here = (*tokens, token)
         sure = 0
-        while all(len(t) > sure and t[sure] == upto_here[sure] for t, _ in readings):
+        for sign in upto_here:
+            if any(len(t) <= sure or t[sure] != sign for t, _ in readings):
+                break
             sure += 1
-        last = upto_here[sure - 1] if sure else state.last
-        following = self.state(last, tuple((t[sure:], node) for t, node in readings))
-        step = state[byte] = (upto_here[:sure], following)
+        readings.append((upto_here, 0))
+        if sure:
+            last = upto_here[sure - 1]
+            readings = [(t[sure:], node) for t, node in readings]
+        step = state[byte] = (upto_here[:sure], self.state(last, tuple(readings)))
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -122,7 +175,7 @@ class Transducer:
 class Encoder:
     """Texts to ids; remembers the ids of at most ``memory`` pieces of at most 64 characters."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
         self.transducer, self.pattern, self.memory = Transducer(ranks), regex.compile(pattern), memory
         self.known: dict[str, bytes] = {}
 
@@ -196,6 +249,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str = public_tokenize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(read_ranks(vocabulary), pattern)
+        gc.set_threshold(1_000_000)  # hundreds of thousands of lasting states make frequent collections dear
         for rows, texts in text_steps(batches):
             packed = [encoder.encode(t.decode()) for t in texts]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
