@@ -5,11 +5,14 @@ hash range into bins; the smallest value of each bin is kept, and an empty bin t
 of the first filled bin in its own fixed random order.  Groups of bins form bands; equal bands put documents
 into one bucket.
 
-Equal sets collapse into one class first.  Inside a bucket nobody meets everybody: hubs meet
-the members that are not in their component yet, the pairs are confirmed on the full sets,
-components are joined, the hubs leave, and buckets that still hold several components go on
-with four times as many hubs.  A bucket ends when its rest is one component, so no link
-between members of a bucket is lost and similar members cost one comparison each.
+Equal sets collapse into one class first.  Inside a bucket nobody meets everybody: hubs meet the members that are
+not in their component yet, the pairs are confirmed on the full sets, and components are joined.  The
+first round's hub is the smallest id.  Then buckets that still hold several components draw a new
+hub in every round; those of at most 16 members compare all of them
+once.  Rounds go on, four at least, until one brings no link.  So the pairs grow with the
+members of buckets, not with the square of a group.  A link is lost only if the documents share no bucket
+(below 1e-8 at the threshold), or if neither the pair nor a way through others was tested in any
+of their buckets, which differ by band; README compares with all pairs.
 
 Defined results: null and empty texts (or texts without words) have an empty set and form a
 component of their own.  A row without ``doc_id`` has a null component and is kept.  Repeated
@@ -18,6 +21,7 @@ rows give repeated, equal results.  Columns other than the two named ones are no
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable, forget
 from .common import query, rows_of, table, text_steps
+from .quality import without
 
 WIDTH = 5
 BANDS = 32
@@ -34,6 +39,11 @@ ROWS = 5
 BINS = BANDS * ROWS
 #: A link needs 100 * intersection >= SHARE * union.
 SHARE = 85
+#: Rounds at least, hubs that a bucket draws in each round after the first, and the size up to which an open
+#: bucket compares all its members.
+LEAST_ROUNDS = 4
+DRAWS = 1
+SMALL = 16
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -128,6 +138,8 @@ SIGNED = pa.schema(
      ("bands", pa.list_(pa.int64()))]
 )
 SETS = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+#: Links up to this number are joined into components by one task.
+FEW_LINKS = 200_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +170,28 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the two star steps: every node hands its larger, then its smaller neighbours to
     the smallest node it knows, until the edges are stars.  A node with many neighbours is met
-    by a partial minimum and by a join whose large partitions can be split.
+    by a partial minimum and by a join whose large partitions can be split.  Up to ``FEW_LINKS``
+    links, counted first, one task does the same steps without shuffles.
     """
-    edges = durable(
-        links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges"
-    )
+    few = links.count() <= FEW_LINKS
+    edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v")
+    edges = durable((edges.coalesce(1) if few else edges).distinct(), "edges")
     before = None
     while True:
         for larger in (True, False):
+            written = edges
+            edges = written.coalesce(1) if few else written
             both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u"))) if larger else edges
+            both = both.coalesce(1) if few else both
             least = durable(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
-            met = both.join(least, "v")
+            met = both.join(least.coalesce(1) if few else least, "v")
             if larger:
                 new = met.filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
             else:
-                new = met.select(F.col("u").alias("v"), F.col("m").alias("u")).union(met.select("v", F.col("m").alias("u")))
+                ends = F.explode(F.array("u", "v")).alias("v")
+                new = met.select(ends, F.col("m").alias("u"))
             following = durable(new.filter("u < v").distinct(), "edges")
-            forget(edges, least)
+            forget(written, least)
             edges = following
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
@@ -182,7 +199,9 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(documents: DataFrame, share: int = SHARE, growth: int = 4) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, share: int = SHARE, least_rounds: int = LEAST_ROUNDS, draws: int = DRAWS, small: int = SMALL
+) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id, kept."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = durable(slim.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed")
@@ -191,7 +210,7 @@ def near_duplicates(documents: DataFrame, share: int = SHARE, growth: int = 4) -
     representatives = known.join(
         classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"]
     )
-    rows = representatives.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    rows = representatives.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     shared = durable(
         rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key"),
         "shared",
@@ -206,43 +225,50 @@ def near_duplicates(documents: DataFrame, share: int = SHARE, growth: int = 4) -
     )
     forget(shared)
     links = tested = labels = None
-    hubs = 1
-    while True:
-        # the buckets that still hold several components
-        placed = members if labels is None else members.join(labels, members["rep"] == labels["node"], "left")
-        placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("comp") if labels is not None else F.col("rep").alias("comp"))
-        placed = durable(placed, "placed")
-        sizes = durable(
-            placed.groupBy("key").agg(
-                F.count("*").alias("n"), F.min("rep").alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
-            ).filter("c0 < c1").select("key", "n", "low"),
-            "sizes",
+    for number in itertools.count():
+        rows = members.withColumn("comp", F.col("rep"))
+        if labels is not None:
+            rows = members.join(labels, members["rep"] == labels["node"], "left").select(
+                "key", "rep", "size", F.coalesce("root", "rep").alias("comp")
+            )
+        # the first hub is the smallest id; later rounds draw some hubs anew for every bucket
+        turns = [F.col("rep")] if number == 0 else [F.xxhash64("rep", "key", F.lit(number), F.lit(i)) for i in range(draws)]
+        drawn = [F.min(F.struct(t.alias("turn"), "rep", "comp", "size")) for t in turns]
+        hubs = durable(
+            rows.groupBy("key")
+            .agg(F.array(*drawn).alias("hubs"), F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+            .filter("c0 < c1")
+            .select("key", "n", "hubs"),
+            "hubs",
         )
-        if not sizes.take(1):
+        if not hubs.take(1):
             break
-        open_rows = placed.join(sizes, "key").withColumn(
-            "hub",
-            (F.col("rep") == F.col("low"))
-            | (F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / F.lit(hubs))) == 0) & F.lit(hubs > 1),
-        )
-        rest = durable(open_rows.select("key", "rep", "comp", "hub"), "open")
-        middle = durable(rest.filter("hub").select("key", F.col("rep").alias("h"), F.col("comp").alias("hc")), "hubs")
-        pairs = (
-            rest.join(middle, "key")
-            .filter("comp <> hc")
-            .select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
-            .distinct()
-        )
+        rows = durable(rows.join(hubs.select("key", "n"), "key"), "open")
+        few = (F.col("n") <= small) & F.lit(number == 1)
+        met = rows.join(hubs.select("key", F.explode("hubs").alias("hub")), "key").filter(~few)
+        met = met.select("rep", "size", "comp", F.col("hub.rep").alias("h"), F.col("hub.size").alias("hs"), F.col("hub.comp").alias("hc"))
+        if number == 1:
+            some = rows.filter(few)
+            other = some.select("key", F.col("rep").alias("h"), F.col("size").alias("hs"), F.col("comp").alias("hc"))
+            met = met.unionByName(some.join(other, "key").filter("rep < h").select("rep", "size", "comp", "h", "hs", "hc"))
+        # sets of too different sizes cannot reach the share
+        met = met.filter("comp <> hc").filter(F.least("size", "hs") * 100 >= F.greatest("size", "hs") * share)
+        pairs = met.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         checked = durable(confirm(pairs, sets, share), "checked")
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         found = checked.filter("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        forget(members, placed, sizes, middle)
-        members = rest.filter("not hub").select("key", "rep")
-        hubs *= growth
+        new = bool(found.take(1))
+        if new:
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        forget(hubs)
+        # small buckets have compared all their members in the second round
+        members = (rows.filter(F.col("n") > small) if number else rows).select("key", "rep", "size")
+        if not new and number >= least_rounds - 1:
+            break
+    forget(sets)
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     root = F.col("rep")
     if labels is not None:
@@ -253,23 +279,28 @@ def near_duplicates(documents: DataFrame, share: int = SHARE, growth: int = 4) -
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One document per component, the one with the smallest id, all columns as they are.
+
+    Of rows that share an id one stays; rows without id stay.
+    """
+    gone = durable(near_duplicates(documents).filter("not kept").select("doc_id").distinct(), "gone")
+    left = without(documents, gone)
+    twice = durable(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    if not twice.take(1):
+        return left
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(left, twice).unionByName(again.select(*left.columns))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(a, b, linked) of the pairs, decided on the full sets."""
-    sized = sets.select("rep", F.size("shingles").alias("n"))
-    near = (
-        pairs.join(sized.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-        .join(sized.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        .withColumn("may", F.least("na", "nb") * 100 >= F.greatest("na", "nb") * share)
-    )
-    near = durable(near, "sized")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = near.filter("may").join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    decided = both.select("a", "b", (common * 100 >= (F.size("sa") + F.size("sb") - common) * share).alias("linked"))
-    return decided.union(near.filter("not may").select("a", "b", F.lit(False))).groupBy("a", "b").agg(
-        F.max("linked").alias("linked")
-    )
+    linked = common * 100 >= (F.size("sa") + F.size("sb") - common) * share
+    return both.select("a", "b", linked.alias("linked"))
 
 
 OP1_SQL = r"""
