@@ -9,10 +9,13 @@ Equal sets collapse into one class first.  Inside a bucket nobody meets everybod
 not in their component yet, the pairs are confirmed on the full sets, and components are joined.  The
 first round's hub is the smallest id.  Then buckets that still hold several components draw a new
 hub in every round; those of at most 16 members compare all of them
-once.  Rounds go on, four at least, until one brings no link.  So the pairs grow with the
-members of buckets, not with the square of a group.  A link is lost only if the documents share no bucket
-(below 1e-8 at the threshold), or if neither the pair nor a way through others was tested in any
-of their buckets, which differ by band; README compares with all pairs.
+once.  Rounds go on, four at least, until one brings no link.
+
+What is open then is finished exactly.  The shingles of every member of an open bucket are put in one order, rare ones
+first.  Two sets that reach the share have their first common shingle so early in both that the rest of either is
+still long enough; all pairs of different components that share such a shingle are confirmed.  The order
+follows counts of hashed shingles: it decides how many pairs are met, never which links are found.
+So a link is lost only if the documents share no bucket (below 1e-8 at the threshold).
 
 Defined results: null and empty texts (or texts without words) have an empty set and form a
 component of their own.  A row without ``doc_id`` has a null component and is kept.  Repeated
@@ -138,6 +141,10 @@ SIGNED = pa.schema(
      ("bands", pa.list_(pa.int64()))]
 )
 SETS = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+FRONTS = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("front", pa.list_(pa.int64()))])
+SLOTS = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+#: Counts of shingles by their lowest bits: 4 MB, whatever the number of documents.
+COUNTED = 1 << 20
 #: Links up to this number are joined into components by one task.
 FEW_LINKS = 200_000
 
@@ -165,6 +172,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(SETS, rows.column(0).cast(pa.int64()), sets)
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTED, dtype=np.int64)
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        counts += np.bincount(values & (COUNTED - 1), minlength=COUNTED)
+    slots = np.flatnonzero(counts)
+    yield rows_of(SLOTS, slots, counts[slots])
+
+
+def least_common(size: int, share: int) -> int:
+    """Shingles that a set has to have in common with one at least as large to reach the share."""
+    return -(-size * share // 100)
+
+
+def fronts(sets: DataFrame, share: int) -> DataFrame:
+    """(rep, size, front): the rare shingles of every set, rarest first, one of which any set that reaches the share holds."""
+    spark = sets.sparkSession
+    slots = sets.select("shingles").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTED, dtype=np.int32)
+    counts[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), np.iinfo(np.int32).max)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for values in batch.column(1):
+                values = values.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((values, shared.value[values & (COUNTED - 1)]))
+                sizes.append(len(values))
+                out.append(values[order[: len(values) - least_common(len(values), share) + 1]])
+            yield rows_of(FRONTS, batch.column(0), sizes, out)
+
+    return sets.select("rep", "shingles").mapInArrow(front, "rep long, size long, front array<long>")
+
+
+def rest_of_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): all pairs of ``members`` (rep, comp) in different components that can reach the share."""
+    members = durable(members.distinct(), "unfinished")
+    wanted = broadcast_if_small(members.select("rep"))
+    rare = durable(fronts(sets.join(wanted, "rep", "left_semi"), share).join(members, "rep"), "fronts")
+    each = rare.select("rep", "comp", "size", F.posexplode("front").alias("at", "s"))
+    x, y = each.alias("x"), each.alias("y")
+    total = F.col("x.size") + F.col("y.size")
+    # the smaller set comes first; what follows the common shingle has to suffice in both
+    rest = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    met = (
+        (F.col("x.s") == F.col("y.s"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (F.struct("x.size", "x.rep") < F.struct("y.size", "y.rep"))
+        & (F.col("x.size") * 100 >= F.col("y.size") * share)
+        & (rest * (100 + share) >= total * share)
+    )
+    first = x.filter((F.col("size") - F.col("at")) * (100 + share) >= F.col("size") * 2 * share)
+    pairs = first.join(y, met)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable.
 
@@ -265,8 +329,14 @@ def near_duplicates(
             labels = components(links)
         forget(hubs)
         # small buckets have compared all their members in the second round
-        members = (rows.filter(F.col("n") > small) if number else rows).select("key", "rep", "size")
+        rows = rows.filter(F.col("n") > small) if number else rows
+        members = rows.select("key", "rep", "size")
         if not new and number >= least_rounds - 1:
+            pairs = rest_of_pairs(rows.select("rep", "comp"), sets, share)
+            checked = durable(confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets, share), "checked")
+            found = checked.filter("linked").select("a", "b")
+            if found.take(1):
+                labels = components(found if links is None else links.union(found))
             break
     forget(sets)
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
@@ -279,12 +349,12 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, share: int = SHARE) -> DataFrame:
     """One document per component, the one with the smallest id, all columns as they are.
 
     Of rows that share an id one stays; rows without id stay.
     """
-    gone = durable(near_duplicates(documents).filter("not kept").select("doc_id").distinct(), "gone")
+    gone = durable(near_duplicates(documents, share).filter("not kept").select("doc_id").distinct(), "gone")
     left = without(documents, gone)
     twice = durable(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if not twice.take(1):

@@ -68,3 +68,37 @@ def test_empty_table_and_no_links(spark):
     assert N.near_duplicates(df).collect() == []
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(df).collect()) == [(1, 1), (2, 2)]
+
+
+def star(copies=1000, length=200, apart=3):
+    """Copies of one text, each with words of its own: all reach the share with the text, no two with each other."""
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for c in range(copies):
+        words = list(base)
+        start = random.Random(c).randrange(length - 20)
+        for k in range(apart):
+            words[start + 6 * k] = f"c{c}x{k}"
+        rows.append((2 * c, " ".join(words)))
+    return [*rows, (copies + 1, " ".join(base))]
+
+
+def test_star_around_a_middle_id_is_one_component(spark):
+    rows = star()
+    centre = rows[-1][0]
+    sets = {i: sets_of(t) for i, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(alike(i, centre) for i in sets)
+    assert sum(alike(0, i) for i in sets) < len(sets) / 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    # one round draws the smallest id only, so the finish has to find what is left
+    assert {r.component_id for r in N.near_duplicates(df, least_rounds=1).collect()} == {0}
+    assert {r.component_id for r in N.near_duplicates(df).collect()} == {0}
+
+
+def test_finish_without_rounds_equals_all_pairs(spark):
+    rows = corpus(11)
+    sets, root = plain(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = N.near_duplicates(df, least_rounds=1, small=0)
+    assert {r.doc_id: r.component_id for r in got.collect()} == root
