@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from leafmill.llm.near_duplicates import one_of_each
 from leafmill.llm.packing import pack
 from leafmill.llm.personal_data import redact
-from leafmill.llm.quality import keep_good
+from leafmill.llm.quality import cleaned
 from leafmill.session import durable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines that their host repeats."""
-    return keep_good(docs)
+    """Documents that pass the base rules, without the lines that their host repeats, unless that depletes them."""
+    return cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

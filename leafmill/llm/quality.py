@@ -4,7 +4,8 @@ Base rules look at one document.  The method looks across documents: every line
 case, runs of white space as one space) and hashed; the distinct documents of each host that
 hold it are counted, equal texts as one document.  A line above both limits is removed from every document of
 the host but the first (smallest ``doc_id``), so that nothing vanishes from the corpus.  A document is depleted,
-and rejected, when fewer than ``left`` percent of its words remain.
+and rejected, when fewer than ``left`` percent of its words remain.  :func:`quality` gives the figures,
+:func:`cleaned` the documents that are kept, without the removed lines.
 
 Defined results: null is the empty text (0 words, fails the base rules); a null host is a host of its own; rows
 without ``doc_id`` count, and come last for "first"; repeated rows are judged row by row and count once.
@@ -61,6 +62,12 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_windows", "_sorted", "_places")
 
 
+def normalised(text: Column) -> Column:
+    """The lines of a text in lower case, runs of white space as one space."""
+    # F.trim itself would get the line's place as the signs to trim
+    return F.transform(F.split(F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")), "\n"), lambda line: F.trim(line))
+
+
 def measured(documents: DataFrame) -> DataFrame:
     """One row per document: the base figures, and (hash, words) of its lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -70,7 +77,6 @@ def measured(documents: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"),
         text.alias("text"),
     )
-    spaced = F.lower(F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " "))
     rows = rows.select(
         "row",
         "doc_id",
@@ -79,7 +85,7 @@ def measured(documents: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)).alias("raw"),
-        F.filter(F.transform(F.split(spaced, "\n"), F.trim), lambda line: line != "").alias("spaced"),
+        F.filter(normalised(F.col("text")), lambda line: line != "").alias("spaced"),
     )
     rows = repeated_words(rows)
     lines = F.transform(
@@ -117,13 +123,8 @@ def frequent_lines(rows: DataFrame, limit_documents: int, limit_percent: float)
     )
 
 
-def quality(
-    documents: DataFrame,
-    limit_documents: int = LIMIT_DOCUMENTS,
-    limit_percent: float = LIMIT_PERCENT,
-    left_percent: int = LEFT_PERCENT,
-) -> DataFrame:
-    """The figures of every document, base_failed, n_left (words that remain) and kept."""
+def judged(documents: DataFrame, limit_documents: int, limit_percent: float, left_percent: int) -> DataFrame:
+    """The figures of every row, n_left, base_failed, kept, and ``gone``: the hashes of the lines it loses (or null)."""
     rows = durable(measured(documents), "measured")
     common = durable(frequent_lines(rows, limit_documents, limit_percent), "frequent")
     lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("l")).select(
@@ -133,32 +134,82 @@ def quality(
         lines.join(common, ["host", "line"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("row")
-        .agg(F.sum("n").alias("removed"))
+        .agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
     )
-    figures = rows.drop("lines", "host", "same").join(removed, "row", "left")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     n_left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    return figures.select(
+    return rows.drop("lines").join(removed, "row", "left").withColumns(
+        {"n_left": n_left, "base_failed": failed, "kept": ~failed & (n_left * 100 >= F.col("n_words") * left_percent)}
+    )
+
+
+def quality(
+    documents: DataFrame,
+    limit_documents: int = LIMIT_DOCUMENTS,
+    limit_percent: float = LIMIT_PERCENT,
+    left_percent: int = LEFT_PERCENT,
+) -> DataFrame:
+    """The figures of every document, base_failed, n_left (words that remain) and kept."""
+    return judged(documents, limit_documents, limit_percent, left_percent).select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        n_left.alias("n_left"),
-        failed.alias("base_failed"),
-        (~failed & (n_left * 100 >= F.col("n_words") * left_percent)).alias("kept"),
+        "n_left",
+        "base_failed",
+        "kept",
     )
 
 
-def keep_good(documents: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, all columns as they are.
+def _kept(documents: DataFrame, clean: bool, *limits) -> DataFrame:
+    slots = [f"_{i}" for i in range(len(documents.columns))]
+    at = {c.lower(): s for c, s in zip(documents.columns, slots, strict=True)}
+    named = documents.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(documents.columns, slots, strict=True)])
+    text = F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))
+    # what a verdict depends on; rows that agree in it have the same verdict, so no row needs a number
+    ident, host = F.col(at["doc_id"]).cast("long"), F.coalesce(F.concat(F.lit("="), F.col(at["source"]).cast("string")), F.lit(""))
+    verdicts = judged(documents, *limits).filter("not kept or gone is not null").groupBy("doc_id", "host", "same").agg(
+        F.min("kept").alias("kept"), F.first("gone").alias("gone")
+    )
+    verdicts = broadcast_if_small(durable(verdicts if clean else verdicts.filter("not kept").drop("gone"), "verdicts"))
+    met = ident.eqNullSafe(F.col("doc_id")) & (host == F.col("host")) & (F.xxhash64(text) == F.col("same"))
+    rows = named.join(verdicts, met, "left").filter(F.coalesce("kept", F.lit(True)))
+    values = {}
+    if clean:
+        lines = F.zip_with(
+            F.split(text, "\n"), normalised(text), lambda raw, line: F.struct(raw.alias("raw"), F.xxhash64(line).alias("line"))
+        )
+        left = F.filter(lines, lambda x: ~F.array_contains("gone", x["line"]))
+        rows = rows.withColumn(
+            "_clean", F.when(F.col("gone").isNull(), F.col(at["text"])).otherwise(F.array_join(F.transform(left, lambda x: x["raw"]), "\n"))
+        )
+        values = {at["text"]: F.col("_clean")}
+        if "n_chars" in at:
+            kind = documents.schema.fields[list(at).index("n_chars")].dataType
+            values[at["n_chars"]] = F.when(F.col("gone").isNull(), F.col(at["n_chars"])).otherwise(F.length("_clean").cast(kind))
+    return rows.select(*[values.get(s, F.col(s)).alias(c) for c, s in zip(documents.columns, slots, strict=True)])
+
+
+def keep_good(
+    documents: DataFrame,
+    limit_documents: int = LIMIT_DOCUMENTS,
+    limit_percent: float = LIMIT_PERCENT,
+    left_percent: int = LEFT_PERCENT,
+) -> DataFrame:
+    """The documents that are kept, all columns as they are; rows are judged one by one, also those without ``doc_id``."""
+    return _kept(documents, False, limit_documents, limit_percent, left_percent)
+
+
+def cleaned(
+    documents: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_percent: float = LIMIT_PERCENT, left_percent: int = LEFT_PERCENT
+) -> DataFrame:
+    """The documents that are kept, without the lines that their host repeats.
 
-    Rows without ``doc_id`` go: nothing can point to them.  Rows that share an id stay if one of them is kept.
+    The other columns stay; ``n_chars``, where there is one, is counted anew for the texts that change.
     """
-    verdicts = quality(documents, **limits).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    rejected = durable(verdicts.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "rejected")
-    return without(documents.filter(F.col("doc_id").isNotNull()), rejected)
+    return _kept(documents, True, limit_documents, limit_percent, left_percent)
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
