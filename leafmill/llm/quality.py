@@ -5,7 +5,8 @@ case, runs of white space as one space) and hashed; the distinct documents of ea
 hold it are counted, equal texts as one document.  A line above both limits is removed from every document of
 the host but the first (smallest ``doc_id``), so that nothing vanishes from the corpus.  A document is depleted,
 and rejected, when fewer than ``left`` percent of its words remain.  :func:`quality` gives the figures,
-:func:`cleaned` the documents that are kept, without the removed lines.
+:func:`cleaned` the documents that are kept, without the removed lines.  The percent of the host is part of the
+query's SQL; :func:`cleaned` has the number of documents as its only limit, so that a large host is treated like a small one.
 
 Defined results: null is the empty text (0 words, fails the base rules); a null host is a host of its own; rows
 without ``doc_id`` count, and come last for "first"; repeated rows are judged row by row and count once.
@@ -203,7 +204,7 @@ def keep_good(
 
 
 def cleaned(
-    documents: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_percent: float = LIMIT_PERCENT, left_percent: int = LEFT_PERCENT
+    documents: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_percent: float = 0, left_percent: int = LEFT_PERCENT
 ) -> DataFrame:
     """The documents that are kept, without the lines that their host repeats.
 
