@@ -16,6 +16,9 @@ from leafmill.llm.personal_data import redact
 from leafmill.llm.quality import cleaned
 from leafmill.session import durable
 
+#: Near-duplicates of the corpus: 100 * intersection >= NEAR_PERCENT * union of the sets of shingles.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules, without the lines that their host repeats, unless that depletes them."""
@@ -23,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of near-duplicates."""
-    return one_of_each(docs)
+    """One document, the one with the smallest id, of each component of near-duplicates (similarity of at least 0.8)."""
+    return one_of_each(docs, NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
