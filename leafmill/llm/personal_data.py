@@ -43,16 +43,26 @@ BASE = {
 #: Signs without which a text has no span of the kind.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 
+# Groups of an IPv6 address, and what may follow its double colon.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_TAIL = rf"(?:{_HEX}:){{0,5}}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}|{_HEX}(?::{_HEX}){{0,6}}"
+
 WIDE = {
     "email": (
         r"[^\s@<>()\[\],;:\"']{1,64}+@[^\s@<>()\[\],;:\"']{2,255}+",
         r"(?i)[a-z0-9._%+-]{1,64}+\s?+[(\[]\s?+(?:at|@)\s?+[)\]]\s?+[a-z0-9-]{1,63}+(?:(?:\.|\s?+[(\[]\s?+dot\s?+[)\]]\s?+)[a-z0-9-]{1,63}+){1,5}+",
     ),
-    "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "ip": (
+        r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
+        r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+        rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}(?::{_HEX}){{0,6}}+::(?:{_TAIL})?+|::(?:{_TAIL}))(?![\p{{L}}\p{{N}}:])",
+    ),
     "card": (r"(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![\p{L}\p{N}])"),
     "phone": (
         r"(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}+])[0-9]{7,15}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}+])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}(?![\p{L}\p{N}])",
     ),
 }
 
@@ -169,7 +179,7 @@ def candidates(text: Column, kind: str) -> Column:
         after = F.substring(text, x["e"] + 1, F.lit(1))
         groups = F.size(F.split(match, "[^0-9A-Za-z@]+"))
         valid = {
-            "email": match.rlike(r"(?i)(?:\.|dot\s?[)\]]\s?)[a-z]{2,24}$"), "ip": ~match.contains(".") | parts_fit(match),
+            "email": match.rlike(r"(?i)(?:\.|dot\s?[)\]]\s?)[a-z]{2,24}$"), "ip": ~match.contains(".") | parts_fit(F.regexp_replace(match, "^.*:", "")),
             "card": luhn(digits_of(match)), "phone": n.between(10, 15),
         }[kind]
         values = {
@@ -201,7 +211,7 @@ def found(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         *keep,
     )
     text = F.col("text")
-    marked = rows.withColumn("marked", text.rlike(r"[0-9@]|(?i:[(\[]\s?at\s?[)\]])"))
+    marked = rows.withColumn("marked", text.rlike(r"[0-9@]|::|(?i:[(\[]\s?at\s?[)\]])"))
     base = marked.withColumns(
         {kind: F.when(F.col("marked"), base_spans(text, kind)).otherwise(F.array().cast("array<struct<s:int,e:int>>")) for kind in KINDS}
     )
