@@ -38,5 +38,5 @@ def test_query_equals_sql(spark, name):
 
 def test_registered_queries():
     names = [n.split("_")[0] for n in llm.QUERIES]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 13))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(llm.QUERIES) | {"pipeline"} <= set(entry.queries())
