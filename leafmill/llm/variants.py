@@ -1,15 +1,16 @@
 """Spelling variants: words in a trie of letter-group counts, searched with a budget of one surplus and one deficit.
 
-Letters form 13 groups; a word's vector has the count of its letters in each.  One inserted letter gives a vector
+Letters form groups; a word's vector has the count of its letters in each.  One inserted letter gives a vector
 one surplus, one deleted letter one deficit, a replaced one at most one of each.  So the near words of a word lie
 at the leaves that a depth-first search through the trie of vectors reaches while it spends at most one surplus and
-one deficit; the words of these leaves are compared letter by letter.
+one deficit; the words of these leaves are compared letter by letter.  The surplus is spent first: a pair whose first
+difference is a deficit is found from its other end.
 
 The trie is spread over tasks.  A node with more words than fit into a cell is inner; the others directly
 below are cells.  There are few inner nodes, for each holds many words: every task knows them, goes through
-them depth-first with each word, and sends it, with what is left of the budget, to the cells that it
-reaches.  A cell builds the rest of the trie from its own words and finishes the searches of its visitors, which stream by.
-A leaf with more words than a cell is dealt into blocks, all of which a visitor goes to; a cell with very many
+them depth-first with its words, and sends each, with what it has spent, to the cells that it
+reaches.  A cell builds the rest of the trie from its own words and goes on with its visitors.
+A leaf with more words than a cell is dealt into parts, all of which a visitor goes to; a cell with very many
 visitors is copied, and each copy takes a share of them.
 
 Defined results: null and empty texts have no words; a row without ``doc_id`` counts as one with an empty id.
@@ -24,14 +25,18 @@ from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, durable, forget
+from ..session import durable, forget
 from .common import query, rows_of, table, text_steps
 
-GROUPS = 13
+#: Letters whose codes agree in their lowest five bits form a group.  The trie asks for the groups in this order, usual letters
+#: first; those that are not named come last.
+ORDER = "etaoinsrhldcumfpgwybvkxjqz"
+GROUPS = 32
 #: A run whose hash this number divides loses a letter.
 CUT = 97
 SHORTEST = 5
@@ -39,24 +44,29 @@ LEAST = 3
 #: A word's form is at least so many times as frequent.
 TIMES = 2
 #: Words of a cell, and visitors that one copy of it takes.
-CELL = 500
+CELL = 1000
 VISITORS = 20_000
 #: Inner nodes at most; cells grow when a vocabulary would have more.
-INNER = 200_000
+INNER = 50_000
+#: Depths of the trie's top that are counted in one pass.
+DEPTHS = 8
+#: Words of a leaf, and visitors that are tested against a leaf at once.
+LEAF = 32
+VISITS = 2000
+#: Halves of two words to compare: 0 and 1 are first, 2 and 3 last halves, 1 and 3 those of a word that is shorter by one.
+HALVES = ((0, 0), (0, 1), (1, 0), (2, 2), (2, 3), (3, 2))
 #: Distinct words that a task counts before it hands them on, and code points of a text that it reads at once.
 HELD = 200_000
 STEP = 1 << 20
 
+_PLACE = np.argsort([*(ord(c) % GROUPS for c in ORDER), *sorted(set(range(GROUPS)) - {ord(c) % GROUPS for c in ORDER})])
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _OTHER = re.compile("[^A-Za-zÀ-ÿ]")
 
 WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
-NODES = pa.schema([("node", pa.string()), ("n", pa.int64())])
-SENT = pa.schema(
-    [("cell", pa.string()), ("block", pa.int32()), ("visitor", pa.int32()), ("word", pa.string()), ("n", pa.int64()),
-     ("depth", pa.int32()), ("surplus", pa.int32()), ("deficit", pa.int32())]
-)
-SENT_TYPE = "cell string, block int, visitor int, word string, n long, depth int, surplus int, deficit int"
+NODES = pa.schema([("node", pa.binary()), ("n", pa.int64())])
+SENT = pa.schema([("cell", pa.binary()), ("part", pa.int32()), ("spent", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+SENT_TYPE = "cell binary, part int, spent int, word string, n long"
 FOUND = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best_n", pa.int64()), ("best", pa.string())])
 
 
@@ -97,19 +107,12 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     return words.filter(F.col("n") >= LEAST)
 
 
-def vector(word: str) -> list[int]:
-    counts = [0] * GROUPS
-    for letter in word:
-        counts[ord(letter) % GROUPS] += 1
-    return counts
-
-
-def nodes_of(word: str) -> list[str]:
-    """The trie's nodes on the way to a word, the root first."""
-    out = [""]
-    for count in vector(word):
-        out.append(f"{out[-1]}{count},")
-    return out
+def vectors(words: list[str]) -> np.ndarray:
+    """Letters of each group in every word, one row per word; a count above 255 is 255, which brings no two words further apart."""
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    counts = np.bincount(row * GROUPS + _PLACE[letters % GROUPS], minlength=len(words) * GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, GROUPS)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -127,119 +130,186 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def inner_nodes(words: DataFrame, cell: int, inner: int) -> tuple[int, dict[str, int]]:
-    """The words that a cell holds, and the nodes with more, with their words; at most ``inner`` nodes, whatever the vocabulary."""
-    total = words.count()
-    # fewer than total / size nodes of one depth can hold more than size words
-    size = max(cell, -(-total * (GROUPS + 1) // inner))
+def step(seekers: tuple, counts: np.ndarray, child: int) -> tuple:
+    """The seekers that go on to a child: nothing spent, the surplus spent, both spent.
+
+    The surplus has to be spent first, so of two words only one finds the other.
+    """
+    free, some, spent = seekers
+    f, s, e = counts[free], counts[some], counts[spent]
+    return (
+        free[f == child],
+        np.concatenate([free[f == child - 1], some[s == child]]) if child else some[s == child],
+        np.concatenate([some[s == child + 1], spent[e == child]]),
+    )
+
+
+def nodes_below(words: DataFrame, full: dict[bytes, int], start: int) -> DataFrame:
+    """(node, n): the nodes of the DEPTHS depths after ``start`` below the nodes ``full``, and their words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                held.update(nodes_of(word))
+            for row in vectors(batch.column(0).to_pylist()):
+                whole = row.tobytes()
+                if whole[:start] in full:
+                    held.update(whole[:depth] for depth in range(start + 1, min(start + DEPTHS, GROUPS) + 1))
             if len(held) >= HELD:
                 yield rows_of(NODES, list(held), list(held.values()))
                 held.clear()
         yield rows_of(NODES, list(held), list(held.values()))
 
-    nodes = words.select("word").mapInArrow(count, "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    return size, {r.node: r.n for r in nodes.filter(F.col("n") > size).collect()}
+    return words.select("word").mapInArrow(count, "node binary, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
 
+def top_of_trie(words: DataFrame, cell: int, inner: int) -> tuple[int, dict[bytes, int], dict[bytes, list[int]]]:
+    """The words that a cell holds; the words of nodes with more; and the children of these.  A node is the row of its counts.
 
-def send(words: DataFrame, size: int, inner: dict[str, int]) -> DataFrame:
-    """Every word to its cell, and as visitor to all cells that its budget reaches."""
-    shared = words.sparkSession.sparkContext.broadcast(inner)
+    At most ``inner`` nodes, with 256 children each, whatever the vocabulary.
+    """
+    total = words.count()
+    # fewer than total / size nodes of one depth can hold more than size words
+    size = max(cell, -(-total * (GROUPS + 1) // inner))
+
+    full: dict[bytes, int] = {b"": total}
+    children: dict[bytes, list[int]] = {}
+    for start in range(0, GROUPS, DEPTHS):
+        if not any(len(node) == start for node in full):
+            break
+        nodes = durable(nodes_below(words, full, start), "nodes")
+        full |= {bytes(r.node): r.n for r in nodes.filter(F.col("n") > size).collect()}
+        parents = words.sparkSession.createDataFrame([(bytearray(k),) for k in full], "parent binary")
+        above = F.expr("substring(node, 1, octet_length(node) - 1)")
+        for r in nodes.withColumn("parent", above).join(parents, "parent").select("node").collect():
+            children.setdefault(bytes(r.node[:-1]), []).append(r.node[-1])
+        forget(nodes)
+    return size, full, children
+
+
+def reached(counts: np.ndarray, full: dict, children: dict) -> Iterator[tuple[bytes, tuple]]:
+    """Every cell that words reach, depth-first from the root, with the words' places by what they have spent."""
+    none = np.empty(0, dtype=np.int64)
+    stack = [(b"", (np.arange(len(counts)), none, none))]
+    while stack:
+        node, seekers = stack.pop()
+        if node not in full or len(node) == GROUPS:
+            yield node, seekers
+            continue
+        column = counts[:, len(node)]
+        for child in children.get(node, ()):
+            further = step(seekers, column, child)
+            if any(map(len, further)):
+                stack.append((node + bytes([child]), further))
+
+
+def send(words: DataFrame, size: int, full: dict, children: dict, visitors: int) -> DataFrame:
+    """(cell, part, spent, word, n): every word in its cell (spent is -1), and as visitor in all cells that its budget reaches."""
+    top = words.sparkSession.sparkContext.broadcast((full, children))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        for batch in batches:
+            for cell, seekers in reached(vectors(batch.column(0).to_pylist()), *top.value):
+                held[cell] += sum(map(len, seekers))
+        yield rows_of(NODES, list(held), list(held.values()))
+
+    counts = words.select("word").mapInArrow(count, "node binary, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    # copies of cells with very many visitors: fewer than all visits / visitors
+    copies = {bytes(r.node): -(-r.n // visitors) for r in counts.filter(F.col("n") > visitors).collect()}
+    copied = words.sparkSession.sparkContext.broadcast(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        full, children = top.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                out = []
-                rows = batch.slice(at, 5000)
-                for word, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    counts = vector(word)
-                    stack = [("", 0, 1, 1)]
-                    while stack:
-                        node, depth, surplus, deficit = stack.pop()
-                        if depth < GROUPS and node in known:
-                            c = counts[depth]
-                            stack.append((f"{node}{c},", depth + 1, surplus, deficit))
-                            if surplus:
-                                stack.append((f"{node}{c + 1},", depth + 1, 0, deficit))
-                            if deficit and c:
-                                stack.append((f"{node}{c - 1},", depth + 1, surplus, 0))
-                            continue
-                        blocks = -(-known.get(node, 1) // size)
-                        out += [(node, block, 1, word, n, depth, surplus, deficit) for block in range(blocks)]
-                        if surplus and deficit:  # nothing spent: the word's own cell
-                            out.append((node, crc32(word.encode()) % blocks, 0, word, n, depth, 0, 0))
-                yield rows_of(SENT, *map(list, zip(*out)))
+            names = batch.column(0).to_pylist()
+            counts = vectors(names)
+            dealt = np.array([crc32(w.encode()) for w in names], dtype=np.int64)
+            cells, rows, parts, spent = [], [], [], []
+
+            def put(cell: bytes, who: np.ndarray, part: np.ndarray, state: int) -> None:
+                cells.append((cell, len(who)))
+                rows.append(who)
+                parts.append(part)
+                spent.append(np.full(len(who), state))
+
+            for cell, seekers in reached(counts, full, children):
+                blocks, n = -(-full.get(cell, 1) // size), copied.value.get(cell, 1)
+                for state, who in enumerate(seekers):
+                    for block in range(blocks):
+                        put(cell, who, block * n + dealt[who] // blocks % n, state)
+                own = seekers[0][(counts[seekers[0], : len(cell)] == np.frombuffer(cell, dtype=np.uint8)).all(axis=1)]
+                for copy in range(n):
+                    put(cell, own, dealt[own] % blocks * n + copy, -1)
+            at = np.concatenate(rows)
+            for i in range(0, len(at), 100_000):
+                take = pa.array(at[i : i + 100_000])
+                # cells are few, so their names are repeated by place
+                names_of = pa.array([c for c, _ in cells], type=pa.binary())
+                which = np.repeat(np.arange(len(cells)), [k for _, k in cells])[i : i + 100_000]
+                yield rows_of(
+                    SENT, names_of.take(pa.array(which)), np.concatenate(parts)[i : i + 100_000].astype(np.int32),
+                    np.concatenate(spent)[i : i + 100_000].astype(np.int32), batch.column(0).take(take), batch.column(1).take(take),
+                )
 
     return words.select("word", "n").mapInArrow(run, SENT_TYPE)
 
 
-def grow(trie: dict, word: str, n: int, depth: int) -> None:
-    """Hang a word of a cell of some depth into the rest of the trie; a cell of full depth is one leaf."""
-    counts = vector(word)
-    for c in counts[depth:-1]:
-        trie = trie.setdefault(c, {})
-    trie.setdefault(counts[-1], []).append((word, n))
+def search(rows: pa.Table) -> pa.Table:
+    """Near words of a cell's words and visitors: the rest of the trie, depth-first with all visitors that reach a node.
+
+    A node with at most LEAF words is a leaf.  Its words are verified: one edit leaves the first or the last half of the shorter
+    word in its place; then come the rest of the vectors and the letters.
+    """
+    depth = len(rows.column("cell")[0].as_py())
+    names, n = rows.column("word").to_pylist(), rows.column("n").to_pylist()
+    spent = rows.column("spent").to_numpy()
+    counts = vectors(names).astype(np.int16)
+    ends = [(w[: len(w) // 2], w[: (len(w) - 1) // 2], w[-(len(w) // 2) :], w[len(w) - (len(w) - 1) // 2 :]) for w in names]
+    halves = np.array([[*map(hash, e)] for e in ends], dtype=np.int64).T
+    found: dict[str, tuple] = {}
 
+    def near(word: str, other: str, m: int) -> None:
+        k, best_n, best = found.get(word, (0, 0, ""))
+        found[word] = (k + 1, m, other) if m > best_n or m == best_n and other < best else (k + 1, best_n, best)
 
-def visit(trie: dict, word: str, depth: int, surplus: int, deficit: int) -> Iterator[tuple[str, int]]:
-    """Near words of a visitor in a cell: depth-first, the budget's rest at hand."""
-    counts = vector(word)
-    stack = [(leaf, depth, 0, 0) for leaf in trie.values()] if depth == GROUPS else [(trie, depth, surplus, deficit)]
+    stack = [(np.flatnonzero(spent < 0), depth, tuple(np.flatnonzero(spent == i) for i in range(3)))]
     while stack:
-        node, depth, surplus, deficit = stack.pop()
-        if depth == GROUPS:
-            for other, n in node:
-                if one_edit(word, other):
-                    yield other, n
+        words, depth, seekers = stack.pop()
+        if len(words) > LEAF and depth < GROUPS:
+            column = counts[:, depth]
+            values = column[words]
+            for child in np.unique(values):
+                further = step(seekers, column, child)
+                if any(map(len, further)):
+                    stack.append((words[values == child], depth + 1, further))
             continue
-        c = counts[depth]
-        depth += 1
-        if (below := node.get(c)) is not None:
-            stack.append((below, depth, surplus, deficit))
-        if surplus and (below := node.get(c + 1)) is not None:
-            stack.append((below, depth, 0, deficit))
-        if deficit and (below := node.get(c - 1)) is not None:
-            stack.append((below, depth, surplus, 0))
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of cells, the words of a cell before its visitors."""
-    at, trie = None, {}
-    for batch in batches:
-        out = []
-        for cell, block, copy, visitor, word, n, depth, surplus, deficit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != (cell, block, copy):
-                at, trie = (cell, block, copy), {}
-            if not visitor:
-                grow(trie, word, n, depth)
-            elif trie:
-                found = list(visit(trie, word, depth, surplus, deficit))
-                if found:
-                    best, best_n = min(found, key=lambda x: (-x[1], x[0]))
-                    out.append((word, len(found), best_n, best))
-        if out:
-            yield rows_of(FOUND, *map(list, zip(*out)))
+        for state, who in enumerate(seekers):
+            for at in range(0, len(who) if len(words) else 0, VISITS):
+                few = who[at : at + VISITS]
+                alike = np.zeros((len(few), len(words)), dtype=bool)
+                for x, y in HALVES:
+                    alike |= halves[x][few][:, None] == halves[y][words][None, :]
+                i, j = np.nonzero(alike)
+                i, j = few[i], words[j]
+                more = counts[j, depth:] - counts[i, depth:]
+                fits = (np.maximum(more, 0).sum(axis=1) <= (state == 0)) & (np.maximum(-more, 0).sum(axis=1) <= (state < 2))
+                if state == 0 and depth < GROUPS:
+                    # the first of the groups that differ has the surplus
+                    fits &= more[np.arange(len(more)), (more != 0).argmax(axis=1)] >= 0
+                same = ~more[fits].any(axis=1)
+                for a, b, equal in zip(i[fits].tolist(), j[fits].tolist(), same.tolist()):
+                    word, other = names[a], names[b]
+                    # words of equal vectors find each other
+                    if one_edit(word, other) and not (state == 0 and equal and other < word):
+                        near(word, other, n[b])
+                        near(other, word, n[a])
+    return pa.table([list(found), *([x[i] for x in found.values()] for i in range(3))], schema=FOUND)
 
 
 def near_words(words: DataFrame, cell: int = CELL, visitors: int = VISITORS, inner: int = INNER) -> DataFrame:
     """(word, n_near, best, best_n) of every word of ``words`` (word, n) with a near word; best is the most frequent of them."""
-    sent = durable(send(words, *inner_nodes(words, cell, inner)), "sent")
-    counts = sent.groupBy("cell", "block").agg(F.sum("visitor").alias("all"), F.min("visitor").alias("first"))
-    # a cell without words of its own needs no visitors
-    copies = counts.filter("first = 0").select("cell", "block", F.ceil(F.col("all") / visitors).cast("int").alias("copies"))
-    rows = sent.join(broadcast_if_small(durable(copies, "copies")), ["cell", "block"])
-    every = F.sequence(F.lit(0), F.col("copies") - 1)
-    one = F.array(F.pmod(F.hash("word"), F.col("copies")))
-    rows = rows.withColumn("copy", F.explode(F.when(F.col("visitor") == 0, every).otherwise(one)))
-    keys = ["cell", "block", "copy"]
-    rows = rows.select(*keys, "visitor", "word", "n", "depth", "surplus", "deficit").repartition(*keys).sortWithinPartitions(*keys, "visitor")
-    found = rows.mapInArrow(_search, "word string, n_near long, best_n long, best string")
+    sent = send(words, *top_of_trie(words, cell, inner), visitors)
+    found = sent.groupBy("cell", "part").applyInArrow(search, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word"))).alias("b")
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
     return found.select("word", "n_near", F.col("b.word").alias("best"), (-F.col("b.n")).alias("best_n"))
