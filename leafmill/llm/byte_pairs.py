@@ -7,7 +7,8 @@ byte, the transducer follows all open readings at once: each is the tokens since
 one and a place in the trie.  Where all readings agree on their first tokens, these are emitted;
 as no reading is open for longer than the longest token, so is the lookahead.  A set of readings
 is a state; states and their moves are made when first needed and are thrown away together when
-there are too many, which bounds the memory.
+there are too many, which bounds the memory.  The last byte of a piece needs no state.  A worker keeps its transducer
+from task to task.
 
 Defined results: null is the empty text and gives no ids; a null list of ids decodes to the
 empty text; ids that do not decode to valid UTF-8 give U+FFFD per maximal broken part.  Unknown ids raise an error.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -161,23 +163,39 @@ class Transducer:
         step = state[byte] = (upto_here[:sure], self.state(last, tuple(readings)))
         return step
 
+    def end(self, state: State, byte: int) -> tuple:
+        """The tokens not emitted yet, if ``byte`` is the last: those of the reading that ends with it.  Needs no new state."""
+        if byte in state:
+            emitted, after = state[byte]
+            return (*emitted, *after.readings[-1][0])
+        for tokens, node in state.readings:
+            node = self.child.get(node << 8 | byte)
+            if node is not None and (token := self.token[node]) is not None:
+                if self.stand(tokens[-1] if tokens else state.last, token):
+                    return (*tokens, token)
+        raise ValueError("a byte without a token")
+
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self.reset()
         state, out = self.start, []
-        for byte in piece:
+        for byte in piece[:-1]:
             emitted, state = state.get(byte) or self.move(state, byte)
             if emitted:
                 out += emitted
-        return out + list(state.readings[-1][0])
+        return [*out, *self.end(state, piece[-1])] if piece else out
 
 
 class Encoder:
-    """Texts to ids; remembers the ids of at most ``memory`` pieces of at most 64 characters."""
+    """Texts to ids; remembers the ids of at most ``memory`` pieces of at most 64 characters.
+
+    The memory has two halves.  When the newer one is full it takes the older one's place; a piece that is met in the older one moves over.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
         self.transducer, self.pattern, self.memory = Transducer(ranks), regex.compile(pattern), memory
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
@@ -185,10 +203,14 @@ class Encoder:
         for piece in self.pattern.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = np.array(self.transducer.encode(piece.encode()), dtype="<i4").tobytes()
-                if len(known) >= self.memory:
-                    known.clear()
+                ids = self.older.get(piece)
+                if ids is None:
+                    found = self.transducer.encode(piece.encode())
+                    ids = pack(f"<{len(found)}i", *found)
                 if len(piece) <= 64:
+                    if 2 * len(known) >= self.memory:
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -240,6 +262,20 @@ class Decoder:
             yield "�"
 
 
+#: Encoders and decoders of this worker by their parameters; a worker runs many tasks, and their states and pieces serve all of them.
+_MADE: dict[tuple, Encoder | Decoder] = {}
+
+
+def made(kind: type, vocabulary: str, *more: str) -> Encoder | Decoder:
+    """The worker's encoder or decoder for a vocabulary file; four are kept at most."""
+    key = (kind, vocabulary, *more)
+    if key not in _MADE:
+        while len(_MADE) >= 4:
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = kind(read_ranks(vocabulary), *more)
+    return _MADE[key]
+
+
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -248,7 +284,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str = public_tokenize
     """(doc_id, ids): the ids of every text, each match of ``pattern`` encoded by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(vocabulary), pattern)
+        encoder = made(Encoder, vocabulary, pattern)
         gc.set_threshold(1_000_000)  # hundreds of thousands of lasting states make frequent collections dear
         for rows, texts in text_steps(batches):
             packed = [encoder.encode(t.decode()) for t in texts]
@@ -263,7 +299,7 @@ def decode(encoded: DataFrame, vocabulary: str, step_rows: int = 200) -> DataFra
     """(doc_id, ids, decoded): the text of every list of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(read_ranks(vocabulary))
+        decoder = made(Decoder, vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, step_rows):
                 rows = batch.slice(at, step_rows)
