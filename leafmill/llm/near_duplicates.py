@@ -18,7 +18,8 @@ follows counts of hashed shingles: it decides how many pairs are met, never whic
 So a link is lost only if the documents share no bucket (below 1e-8 at the threshold).
 
 Defined results: null and empty texts (or texts without words) have an empty set and form a
-component of their own.  A row without ``doc_id`` has a null component and is kept.  Repeated
+component of their own.  Rows that share a ``doc_id`` and differ in the text are one member with several sets: what is near to one of
+them is in its component.  A row without ``doc_id`` has a null component and is kept.  Repeated
 rows give repeated, equal results.  Columns other than the two named ones are not looked at.
 """
 
@@ -352,14 +353,14 @@ def near_duplicates(
 def one_of_each(documents: DataFrame, share: int = SHARE) -> DataFrame:
     """One document per component, the one with the smallest id, all columns as they are.
 
-    Of rows that share an id one stays; rows without id stay.
+    Of rows that share id and text one stays; other texts of an id that stays all stay, and rows without id stay.
     """
     gone = durable(near_duplicates(documents, share).filter("not kept").select("doc_id").distinct(), "gone")
     left = without(documents, gone)
     twice = durable(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if not twice.take(1):
         return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return without(left, twice).unionByName(again.select(*left.columns))
 
 

@@ -2,11 +2,11 @@
 
 Base rules look at one document.  The method looks across documents: every line is normalised (lower
 case, runs of white space as one space) and hashed; the distinct documents of each host that
-hold it are counted, equal texts as one document.  A line above both limits is removed from every document of
-the host but the first (smallest ``doc_id``), so that nothing vanishes from the corpus.  A document is depleted,
+hold it are counted, equal texts as one document.  A line above the limit, a number of documents that does not
+depend on the host's size, is removed from every document of the host but the first (smallest ``doc_id``), so that nothing
+vanishes from the corpus.  A document is depleted,
 and rejected, when fewer than ``left`` percent of its words remain.  :func:`quality` gives the figures,
-:func:`cleaned` the documents that are kept, without the removed lines.  The percent of the host is part of the
-query's SQL; :func:`cleaned` has the number of documents as its only limit, so that a large host is treated like a small one.
+:func:`cleaned` the documents that are kept, without the removed lines.
 
 Defined results: null is the empty text (0 words, fails the base rules); a null host is a host of its own; rows
 without ``doc_id`` count, and come last for "first"; repeated rows are judged row by row and count once.
@@ -15,6 +15,8 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ from .common import query, table
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
-#: A line is removed above both: documents of the host, and percent of the documents of the host.
+#: A line is removed above this number of documents of the host, whatever the host's size.
 LIMIT_DOCUMENTS = 20
-LIMIT_PERCENT = 1.0
+#: A further limit in percent of the host's documents, for callers who want one.
+LIMIT_PERCENT = 0
 #: Percent of its words that a document has to keep.
 LEFT_PERCENT = 20
 
@@ -111,17 +114,15 @@ def measured(documents: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, limit_documents: int, limit_percent: float) -> DataFrame:
-    """(host, line, first): the lines above both limits, with the first document that holds them."""
-    hosts = rows.groupBy("host", "same").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("n_host"))
+    """(host, line, first): the lines above the limits, with the first document that holds them."""
     held = rows.select("host", "same", "doc_id", F.explode(F.array_distinct("lines.line")).alias("line"))
     per_text = held.groupBy("host", "line", "same").agg(F.min("doc_id").alias("first"))
     counts = per_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
-    return (
-        counts.filter(F.col("n_docs") > limit_documents)
-        .join(hosts, "host")
-        .filter(F.col("n_docs") * 100 > F.col("n_host") * limit_percent)
-        .select("host", "line", "first")
-    )
+    counts = counts.filter(F.col("n_docs") > limit_documents)
+    if limit_percent:
+        hosts = rows.groupBy("host", "same").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("n_host"))
+        counts = counts.join(hosts, "host").filter(F.col("n_docs") * 100 > F.col("n_host") * limit_percent)
+    return counts.select("host", "line", "first")
 
 
 def judged(documents: DataFrame, limit_documents: int, limit_percent: float, left_percent: int) -> DataFrame:
@@ -204,7 +205,10 @@ def keep_good(
 
 
 def cleaned(
-    documents: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_percent: float = 0, left_percent: int = LEFT_PERCENT
+    documents: DataFrame,
+    limit_documents: int = LIMIT_DOCUMENTS,
+    limit_percent: float = LIMIT_PERCENT,
+    left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
     """The documents that are kept, without the lines that their host repeats.
 
@@ -215,8 +219,10 @@ def cleaned(
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among ``ids``: texts are only shuffled where the ids are too many to broadcast."""
-    gone = broadcast_if_small(ids.select(F.col("doc_id").alias("_gone")))
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    names = {c.lower() for c in documents.columns}
+    key = next(k for i in itertools.count() if (k := f"_gone{i}") not in names)
+    gone = broadcast_if_small(ids.select(F.col("doc_id").cast("long").alias(key)))
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -236,10 +242,8 @@ raw_lines AS (SELECT doc_id, source, unnest(raw) AS line FROM texts),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 plain AS (SELECT doc_id, source, trim(lower(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' ') AS line FROM raw_lines),
 lines AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS n FROM plain WHERE line <> ''),
-hosts AS (SELECT source, count(DISTINCT text) AS n_host FROM texts GROUP BY source),
 common AS (SELECT l.source, l.line, min(l.doc_id) AS first FROM lines l JOIN texts t ON t.doc_id = l.doc_id
-           JOIN hosts h ON h.source = l.source GROUP BY l.source, l.line
-           HAVING count(DISTINCT t.text) > 20 AND count(DISTINCT t.text) * 100 > any_value(n_host) * 1.0),
+           GROUP BY l.source, l.line HAVING count(DISTINCT t.text) > 20),
 removed AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN common c ON c.source = l.source AND c.line = l.line AND c.first <> l.doc_id
             GROUP BY l.doc_id),
 figures AS (

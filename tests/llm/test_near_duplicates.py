@@ -13,7 +13,7 @@ def sets_of(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def plain(rows):
+def plain(rows, share=85):
     """doc_id -> smallest reachable doc_id by all pairs."""
     sets = {i: sets_of(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
@@ -22,7 +22,7 @@ def plain(rows):
         changed = False
         for a in sets:
             for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     return sets, root
@@ -87,7 +87,7 @@ def test_star_around_a_middle_id_is_one_component(spark):
     rows = star()
     centre = rows[-1][0]
     sets = {i: sets_of(t) for i, t in rows}
-    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])
     assert all(alike(i, centre) for i in sets)
     assert sum(alike(0, i) for i in sets) < len(sets) / 2
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)

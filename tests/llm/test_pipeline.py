@@ -35,7 +35,7 @@ def test_stages_keep_the_columns(stages):
 
 def test_quality_stage(stages):
     before, after = rows_of(stages[0]), rows_of(stages[1])
-    limits = quality.LIMIT_DOCUMENTS, quality.LIMIT_PERCENT, quality.LEFT_PERCENT
+    limits = quality.LIMIT_DOCUMENTS, 0, quality.LEFT_PERCENT
     want = plain_quality([(i, r.source, r.text) for i, r in before.items()], *limits)
     assert set(after) == {i for i, v in want.items() if v[-1]}
     assert all(after[i] == before[i] for i in after)
@@ -43,7 +43,7 @@ def test_quality_stage(stages):
 
 def test_duplicate_stage(stages):
     before, after = rows_of(stages[1]), rows_of(stages[2])
-    _, root = plain([(i, r.text) for i, r in before.items()])
+    _, root = plain([(i, r.text) for i, r in before.items()], corpus_pipeline.NEAR_PERCENT)
     assert set(after) == {i for i in root if root[i] == i}
     assert all(after[i] == before[i] for i in after)
 
