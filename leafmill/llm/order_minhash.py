@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_if_small, durable
 from .common import query, table
 
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
@@ -132,31 +132,25 @@ def followers(documents: DataFrame) -> DataFrame:
     )
 
 
-def edited(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, edited), and the followers: the last quarter of every text gives way to the next document's first signs."""
-    texts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    order = durable(followers(texts), "followers")
-    alone = texts.filter("doc_id is null")
-    texts = texts.filter("doc_id is not null")  # so both joins read one shuffle of the texts
+def edited(texts: DataFrame, order: DataFrame) -> DataFrame:
+    """(doc_id, text, edited) of rows with an id: the last quarter of every text gives way to the next document's first signs.
+
+    Only first signs travel; the texts are dealt by ``doc_id`` once, for this join, and all that follows keeps to that deal.
+    """
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 4).cast("int").alias("cut"))
     heads = (
-        texts.join(wanted, "doc_id")
+        texts.join(broadcast_if_small(wanted, max_rows=2_000_000), "doc_id")
         .select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, cut)").alias("head"))
         .groupBy("doc_id")
         .agg(F.min("head").alias("head"))
     )
-    cut = F.floor(F.length("text") / 4).cast("int")
-    joined = texts.join(heads, "doc_id", "left").unionByName(alone.withColumn("head", F.lit(None).cast("string")))
-    joined = joined.withColumn("cut", cut)
+    joined = texts.join(heads.hint("merge"), "doc_id", "left").withColumn("cut", F.floor(F.length("text") / 4).cast("int"))
     new = F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(coalesce(head, ''), 1, cut)"))
-    return joined.select("doc_id", "text", new.alias("edited")), order
+    return joined.select("doc_id", "text", new.alias("edited"))
 
 
-def edited_likeness(documents: DataFrame, sketches: int = SKETCHES) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_chars, edited_sha256, both fingerprints and their likenesses."""
-    pairs, order = edited(documents)
+def both_fingerprints(pairs: DataFrame, sketches: int) -> DataFrame:
+    """Per distinct row (doc_id, text, edited): n_chars, edited_sha256, both fingerprints, and its copies."""
     keys = ["doc_id", "same", "n_chars", "edited_sha256", "of"]
     both = pairs.select(
         "doc_id",
@@ -165,15 +159,29 @@ def edited_likeness(documents: DataFrame, sketches: int = SKETCHES) -> DataFrame
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.posexplode(F.array("text", "edited")).alias("of", "text"),
     )
-    prints = fingerprints(both, keys, sketches)
-    rows = durable(
-        prints.groupBy(*keys[:-1]).agg(
+    return (
+        fingerprints(both, keys, sketches)
+        .groupBy(*keys[:-1])
+        .agg(
             F.max(F.when(F.col("of") == 0, F.col("fingerprint"))).alias("fingerprint"),
             F.max(F.when(F.col("of") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
             F.max("copies").alias("copies"),
-        ),
-        "fingerprints",
+        )
+    )
+
+
+def edited_likeness(documents: DataFrame, sketches: int = SKETCHES) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_chars, edited_sha256, both fingerprints and their likenesses."""
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
+    order = durable(followers(texts), "followers")
+    # rows without id have no next document and need no join
+    alone = texts.filter("doc_id is null")
+    cut = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))")
+    rows = durable(both_fingerprints(edited(texts.filter("doc_id is not null"), order), sketches), "fingerprints")
+    if alone.take(1):
+        rows = rows.unionByName(both_fingerprints(alone.withColumn("edited", cut), sketches))
     following = rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next"))
     after = order.select("doc_id", "next_id").join(following, "next_id").select("doc_id", "next")
     return (
