@@ -26,6 +26,8 @@ OWN_SUMMARY_WEIGHT = 0.5
 DIRECTORY_WEIGHT = 0.25
 RESULT_DIRECTORIES = 3
 DOCUMENT_PASSAGES = 3
+# Postings that the first bound of a page is taken from, as a multiple of the page.
+_FIRST_POSTINGS = 4
 # Slots of query lexemes that fit into one long number.
 _SLOTS = 63
 
@@ -103,19 +105,89 @@ def matches(postings: DataFrame, query_rows: DataFrame, most_positions: int | No
     if "bucket" in postings.columns:
         terms = terms.withColumn("bucket", bucket_of("lexeme"))
         keys.append("bucket")
+    met = postings.join(broadcast_if_small(terms), keys).filter(P.under("path", F.col("scope")))
+    return _summed(met, query_rows, most_positions)
+
+
+def _summed(met: DataFrame, query_rows: DataFrame, most_positions: int | None = None) -> DataFrame:
+    """Postings that met the terms of queries, summed per query and path."""
     positions = F.col("tf") if most_positions is None else F.least(F.col("tf"), F.lit(most_positions))
     capped = positions.cast("bigint")
     widest = query_rows.agg(F.max(F.size("lexemes"))).first()[0]
-    return (
-        postings.join(broadcast_if_small(terms), keys)
-        .filter(P.under("path", F.col("scope")))
-        .groupBy("query_id", "path", "kind")
-        .agg(
-            _distinct_slots(widest).alias("matched"),
-            F.sum(F.when(F.col("source") == "text", capped).otherwise(0)).alias("text_positions"),
-            F.sum(F.when(F.col("source") == "summary", capped).otherwise(0)).alias("summary_positions"),
-        )
+    return met.groupBy("query_id", "path", "kind").agg(
+        _distinct_slots(widest).alias("matched"),
+        F.sum(F.when(F.col("source") == "text", capped).otherwise(0)).alias("text_positions"),
+        F.sum(F.when(F.col("source") == "summary", capped).otherwise(0)).alias("summary_positions"),
+    )
+
+
+def relevant(postings: DataFrame, query_rows: DataFrame) -> DataFrame:
+    """The postings of all lexemes of a batch, written once: what a search reads of the index."""
+    wanted = query_rows.select(F.explode("lexemes").alias("lexeme")).distinct()
+    keys = ["lexeme"]
+    if "bucket" in postings.columns:
+        wanted = wanted.withColumn("bucket", bucket_of("lexeme"))
+        keys.append("bucket")
+    rows = postings.join(broadcast_if_small(wanted), keys)
+    return durable(rows.select("path", "source", "kind", "lexeme", "tf"), "postings")
+
+
+def page_matches(postings: DataFrame, files: DataFrame, query_rows: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
+    """The rows of :func:`matches` for every live document that can be on the page, and for all directories.
+
+    Documents rank by their number of different lexemes first.  If a page's worth of documents has at least t of a query's
+    m lexemes, a document that lacks its m - t + 1 rarest ones has fewer than t and cannot enter.  So only the
+    lists of the rarest lexemes are read for candidates; the frequent ones are looked up for candidates
+    alone.  t comes from some documents that hold the very rarest lexemes: any of them give a valid bound.
+    """
+    limit, offset = page_bounds(limit, offset)
+    need = limit + offset
+    of_files = postings.filter("kind = 'file'")
+    counts = of_files.groupBy("lexeme").agg(F.count(F.lit(1)).alias("held"))
+    counts = durable(counts.withColumn("number", F.monotonically_increasing_id()), "lexemes")
+    of_query = Window.partitionBy("query_id")
+    rarest = of_query.orderBy("held", "number")
+    terms = _exploded(query_rows).join(counts, "lexeme").select(
+        "*",
+        F.row_number().over(rarest).alias("nth"),
+        F.count(F.lit(1)).over(of_query).alias("m"),
+        (F.sum("held").over(rarest) - F.col("held")).alias("before"),
     )
+    terms = durable(terms, "terms")
+    # a few times as many postings as the page has rows; of longer lists a share of the documents
+    firsts = terms.filter(F.col("before") < need * _FIRST_POSTINGS).withColumn(
+        "share", F.ceil(F.max(F.col("before") + F.col("held")).over(of_query) / (need * _FIRST_POSTINGS))
+    )
+    first = _documents_with(of_files, firsts, files, F.pmod(F.xxhash64("path"), F.col("share")) == 0)
+    held = of_files.select("path", "lexeme").join(broadcast_if_small(counts.select("lexeme", "number")), "lexeme")
+    held = durable(held.groupBy("path").agg(F.collect_set("number").alias("held")), "held")
+    asked = broadcast_if_small(terms.groupBy("query_id").agg(F.collect_set("number").alias("asked")))
+
+    def counted(documents: DataFrame) -> DataFrame:
+        """How many of its query's lexemes each document holds, from the sets of both."""
+        rows = documents.join(held, "path").join(asked, "query_id")
+        return rows.select("query_id", "path", F.size(F.array_intersect("held", "asked")).alias("found"))
+
+    order = of_query.orderBy(F.desc("found"))
+    nth = counted(first).withColumn("place", F.row_number().over(order)).filter(F.col("place") == need)
+    least = durable(nth.select("query_id", F.col("found").alias("least")), "least")
+    essential = terms.join(least, "query_id", "left").filter(F.col("nth") <= F.col("m") - F.coalesce("least", F.lit(1)) + 1)
+    candidates = counted(_documents_with(of_files, essential, files, F.lit(True)))
+    # as many as the page needs, with all ties of the last place
+    finalists = candidates.withColumn("place", F.rank().over(order)).filter(F.col("place") <= need).select("query_id", "path")
+    documents = _summed(_terms_of(durable(finalists, "finalists"), terms).join(of_files, ["path", "lexeme"]), query_rows)
+    return documents.unionByName(matches(postings.filter("kind = 'dir'"), query_rows))
+
+
+def _documents_with(of_files: DataFrame, terms: DataFrame, files: DataFrame, chosen: Column) -> DataFrame:
+    """(query_id, path) of the live documents in scope that hold one of the terms."""
+    met = of_files.select("path", "lexeme").join(broadcast_if_small(terms), "lexeme").filter(P.under("path", F.col("scope")))
+    return met.filter(chosen).select("query_id", "path").distinct().join(files.select("path"), "path", "left_semi")
+
+
+def _terms_of(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """Documents of queries with each term of their query."""
+    return documents.join(broadcast_if_small(terms.select("query_id", "lexeme", "mask", "bit")), "query_id")
 
 
 def directory_candidates(matched: DataFrame, most: int | None = None) -> DataFrame:
@@ -225,23 +297,28 @@ def _lines_with(texts: str) -> Column:
     return F.transform(kept, lambda p: p.line)
 
 
-def page_lines(
-    page: DataFrame, files: DataFrame, query_rows: DataFrame, most_lines: int | None = None
-) -> DataFrame:
-    """(query_id, path, place, lexemes, lines, cut) for the documents of a page.
+def page_lines(page: DataFrame, files: DataFrame, most_lines: int | None = None) -> DataFrame:
+    """(path, lines, cut) of the different documents of all pages, read once.
 
     All lines of a document are candidates; ``most_lines`` takes only its first ones, and
     ``cut`` tells whether lines were left out.
     """
     content = H.parse_headers(pick(files, page).select("path", "content"))
-    rows = (
-        page.select("query_id", "path", "place")
-        .join(broadcast_if_small(query_rows.select("query_id", "lexemes")), "query_id")
-        .join(content.select("path", X.passages("body").alias("lines")), "path")
-    )
+    rows = content.select("path", X.passages("body").alias("lines"))
     if most_lines is None:
-        return rows.withColumn("cut", F.lit(False))
-    return rows.withColumn("cut", F.size("lines") > most_lines).withColumn("lines", F.slice("lines", 1, most_lines))
+        return durable(rows.withColumn("cut", F.lit(False)), "lines")
+    rows = rows.withColumn("cut", F.size("lines") > most_lines)
+    return durable(rows.withColumn("lines", F.slice("lines", 1, most_lines)), "lines")
+
+
+def line_lexemes(lines: DataFrame, language: str) -> DataFrame:
+    """(path, n, lexeme, tf): every line is split into lexemes once, whatever the number of queries that show it."""
+    return (
+        lines.select("path", F.posexplode("lines").alias("n", "line"))
+        .select("path", "n", F.array_sort(lexemes(X.token_bag("line"), language)).alias("_sorted"))
+        .select("path", "n", "_sorted", X.run_starts("_sorted").alias("_starts"))
+        .select("path", "n", F.inline(X.run_lengths("_sorted", "_starts")))
+    )
 
 
 def passages(
@@ -252,18 +329,15 @@ def passages(
     Lines rank by the number of different lexemes, then by matching positions, then by
     their order; the best three are shown in document order.
     """
-    lines = page_lines(page, files, query_rows, most_lines)
-    taken = lines.select("query_id", "path", "lexemes", F.posexplode("lines").alias("n", "line"))
-    wanted = lexemes(X.token_bag("line"), language)
-    hits = F.filter("line_lexemes", lambda t: F.array_contains("lexemes", t))
+    lines = page_lines(page, files, most_lines)
+    wanted = page.select("query_id", "path").join(
+        broadcast_if_small(query_rows.select("query_id", F.explode("lexemes").alias("lexeme"))), "query_id"
+    )
     ranked = (
-        taken.withColumn("line_lexemes", wanted)
-        .select("query_id", "path", "n", "line", hits.alias("hits"))
-        .select(
-            "query_id", "path", "n", "line",
-            F.size(F.array_distinct("hits")).alias("matched"), F.size("hits").alias("positions"),
-        )
-        .filter("matched > 0")
+        line_lexemes(lines, language)
+        .join(wanted, ["path", "lexeme"])
+        .groupBy("query_id", "path", "n")
+        .agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("positions"))
     )
     of_document = Window.partitionBy("query_id", "path")
     order = of_document.orderBy(F.desc("matched"), F.desc("positions"), "n")
@@ -271,6 +345,8 @@ def passages(
         ranked.withColumn("best", F.row_number().over(order))
         .withColumn("found", F.count(F.lit(1)).over(of_document))
         .filter(F.col("best") <= DOCUMENT_PASSAGES)
+        .join(lines.select("path", "lines"), "path")
+        .select("query_id", "path", "found", "n", F.get("lines", "n").alias("line"))
         .groupBy("query_id", "path")
         .agg(
             F.array_sort(F.collect_list(F.struct("n", "line"))).alias("shown"),
@@ -282,7 +358,7 @@ def passages(
             (F.col("found") - F.size("shown")).alias("more_lines"),
         )
     )
-    flags = lines.select("query_id", "path", F.col("cut").alias("more_lines_min"))
+    flags = page.select("query_id", "path").join(lines.select("path", F.col("cut").alias("more_lines_min")), "path")
     return flags.join(best, ["query_id", "path"], "left").select(
         "query_id", "path",
         F.coalesce("passages", F.array().cast("array<string>")).alias("passages"),
@@ -310,17 +386,17 @@ def search(
 
     Postings of documents that are not in ``files`` any more count nowhere.
 
-    The candidate table and the page are written once to the shared folder; the totals, the
-    page and the passages read them from there.
+    The postings of the batch and the page are written once to the shared folder; the page and the passages
+    read them from there.  Only the totals need every match; they are counted when they are asked for.
     """
     page_bounds(limit, offset)
     if manifest is not None and index_status(files, manifest, language).first().stale > 0:
         raise IndexStale("the index has another language or lacks documents; rebuild it")
     query_rows = durable(query_lexemes(queries, language), "queries")
-    matched = durable(live(matches(postings, query_rows), files), "matches")
-    lifting = directory_candidates(matched) if summaries is not None else None
-    found = found_documents(matched, lifting)
-    page = durable(top_page(found, limit, offset), "page")
+    postings = relevant(postings, query_rows)
+    matched = page_matches(postings, files, query_rows, limit, offset)
+    lifting = durable(directory_candidates(matched), "directories") if summaries is not None else None
+    page = durable(top_page(found_documents(matched, lifting), limit, offset), "page")
     shown = passages(page, files, query_rows, language, most_lines)
     attributes = pick(files, page).select("path", "size", "mtime")
     hits = page.join(broadcast_if_small(attributes), "path").join(
@@ -340,6 +416,7 @@ def search(
         F.coalesce("abstract", F.lit("")).alias("abstract"),
         "passages", "more_lines", "more_lines_min", "snippet", "size", "mtime",
     )
+    found = found_documents(live(matches(postings, query_rows), files))
     return SearchResult(hits, dirs, result_totals(found, queries))
 
 

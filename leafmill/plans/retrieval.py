@@ -247,6 +247,13 @@ def _matched(spark, sf, with_summaries: bool = True):
     return S.matches(postings, S.query_lexemes(benchmark_queries(spark, sf), "zh"))
 
 
+def _page_matched(spark, sf, **page):
+    """Matches of the documents that can be on a page, from the text alone."""
+    corpus = files(spark, sf)
+    rows = durable(S.query_lexemes(benchmark_queries(spark, sf), "zh"), "queries")
+    return S.page_matches(S.relevant(I.text_postings(corpus, "zh"), rows), corpus, rows, **page)
+
+
 TOP_TEXT = f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (
       SELECT query_id, path, count(DISTINCT lexeme) AS matched, sum(tf) AS n FROM text_postings JOIN terms ON lexeme = term GROUP BY ALL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, n DESC, path) AS place FROM m)"""
@@ -257,7 +264,7 @@ TOP_TEXT = f"""WITH {FILES}, {TERMS}, {TEXT_POSTINGS}, m AS (
     f"{TOP_TEXT} SELECT query_id, place, path, matched, round(n / (n + 10.0), 9) AS rank FROM placed WHERE place <= 10",
 )
 def _(spark, sf):
-    found = S.found_documents(_matched(spark, sf, with_summaries=False))
+    found = S.found_documents(_page_matched(spark, sf))
     return S.top_page(found).select("query_id", "place", "path", "matched", F.round("score", 9).alias("rank"))
 
 
@@ -266,7 +273,7 @@ def _(spark, sf):
     f"{TOP_TEXT} SELECT query_id, place, path FROM placed WHERE place > 7 AND place <= 507",
 )
 def _(spark, sf):
-    found = S.found_documents(_matched(spark, sf, with_summaries=False))
+    found = S.found_documents(_page_matched(spark, sf, limit=500, offset=7))
     return S.top_page(found, limit=500, offset=7).select("query_id", "place", "path")
 
 
