@@ -7,8 +7,8 @@ byte, the transducer follows all open readings at once: each is the tokens since
 one and a place in the trie.  Where all readings agree on their first tokens, these are emitted;
 as no reading is open for longer than the longest token, so is the lookahead.  A set of readings
 is a state; states and their moves are made when first needed and are thrown away together when
-there are too many, which bounds the memory.  The last byte of a piece needs no state.  A worker keeps its transducer
-from task to task.
+there are too many, which bounds the memory.  A move that is needed for the first time is not made yet: what is left of a
+piece of at most 64 bytes is followed one reading after the other, as most pieces are rare.  A worker keeps its transducer from task to task.
 
 Defined results: null is the empty text and gives no ids; a null list of ids decodes to the
 empty text; ids that do not decode to valid UTF-8 give U+FFFD per maximal broken part.  Unknown ids raise an error.
@@ -51,7 +51,7 @@ def merge(data: bytes, ranks: dict[bytes, int], below: int | None = None) -> lis
 
 
 class State(dict):
-    """Moves by byte, each (emitted tokens, next state); ``last`` is the last emitted token."""
+    """Moves by byte, each (emitted tokens, next state), or None if needed once; ``last`` is the last emitted token."""
 
     __slots__ = ("last", "readings")
 
@@ -78,6 +78,7 @@ class Transducer:
     def reset(self) -> None:
         """Throw all states away; they point to each other, so the collector has to look for them."""
         self.states: dict[tuple, State] = {}
+        self.first = 0  # moves needed once
         gc.collect()
         self.start = self.state(None, (((), 0),))
 
@@ -163,27 +164,67 @@ class Transducer:
         step = state[byte] = (upto_here[:sure], self.state(last, tuple(readings)))
         return step
 
-    def end(self, state: State, byte: int) -> tuple:
-        """The tokens not emitted yet, if ``byte`` is the last: those of the reading that ends with it.  Needs no new state."""
-        if byte in state:
-            emitted, after = state[byte]
-            return (*emitted, *after.readings[-1][0])
+    def options(self, node: int, data: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that a reading at this place of the trie can end with, the shortest first."""
+        child, token_of, found = self.child, self.token, []
+        for end in range(at, len(data)):
+            node = child.get(node << 8 | data[end])
+            if node is None:
+                break
+            if (token := token_of[node]) is not None:
+                found.append((end + 1, token))
+        return found
+
+    def finish(self, state: State, data: bytes) -> list[int]:
+        """The tokens not emitted yet, if ``data`` (not empty) is all that follows.  Makes no states.
+
+        Follows one reading at a time, the longest tokens first.  Only one reading ends at each byte,
+        so a place that was left without success is not entered again.
+        """
+        pairs, final = self.pairs, len(data)
+        entered = bytearray(final + 1)
         for tokens, node in state.readings:
-            node = self.child.get(node << 8 | byte)
-            if node is not None and (token := self.token[node]) is not None:
-                if self.stand(tokens[-1] if tokens else state.last, token):
-                    return (*tokens, token)
+            out, path = [], [(tokens[-1] if tokens else state.last, self.options(node, data, 0))]
+            while path:
+                left, options = path[-1]
+                while options:
+                    end, token = options.pop()
+                    if entered[end]:
+                        continue
+                    fits = pairs.get(-token - 1 if left is None else left << 32 | token)
+                    if self.stand(left, token) if fits is None else fits:
+                        out.append(token)
+                        if end == final:
+                            return [*tokens, *out]
+                        entered[end] = 1
+                        path.append((token, self.options(0, data, end)))
+                        break
+                else:
+                    path.pop()
+                    del out[-1:]
         raise ValueError("a byte without a token")
 
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
+    def encode(self, piece: bytes, short: int = 64) -> list[int]:
+        """A move is made when it is needed for the second time; the first time, the rest of a short piece is followed without it.
+
+        Most pieces are rare, so most of their moves would never be used again.
+        """
+        if len(self.states) + self.first / 4 > self.max_states:
             self.reset()
-        state, out = self.start, []
-        for byte in piece[:-1]:
-            emitted, state = state.get(byte) or self.move(state, byte)
+        state, out, final = self.start, [], len(piece) - 1
+        for at, byte in enumerate(piece):
+            step = state.get(byte, 0)
+            if not step:
+                if at == final or step == 0 and final - at < short:
+                    if step == 0:
+                        self.first += 1
+                        state[byte] = None
+                    return out + self.finish(state, piece[at:])
+                step = self.move(state, byte)
+            emitted, state = step
             if emitted:
                 out += emitted
-        return [*out, *self.end(state, piece[-1])] if piece else out
+        return [*out, *state.readings[-1][0]] if piece else out
 
 
 class Encoder:
@@ -199,22 +240,25 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        out, known = [], self.known
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
+        pieces = self.pattern.findall(text)
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            for i, ids in enumerate(out):
                 if ids is None:
-                    found = self.transducer.encode(piece.encode())
-                    ids = pack(f"<{len(found)}i", *found)
-                if len(piece) <= 64:
-                    if 2 * len(known) >= self.memory:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[piece] = ids
-            out.append(ids)
+                    out[i] = self.known.get(pieces[i]) or self.learn(pieces[i])
         return b"".join(out)
 
+    def learn(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.transducer.encode(piece.encode())
+            ids = pack(f"<{len(found)}i", *found)
+        if len(piece) <= 64:
+            if 2 * len(self.known) >= self.memory:
+                self.older, self.known = self.known, {}
+            self.known[piece] = ids
+        return ids
+
 
 # first byte of a sequence: bytes that follow, and the range of the second byte
 _LEADS = (
