@@ -7,17 +7,23 @@ space outside ``pre``, sets blocks apart, marks list items, and pads the cells o
 columns stand below each other.
 
 Visible is what a browser with scripts shows in its window: not the head, scripts, styles, templates, ``noscript``; not what
-``hidden``, ``display: none`` or ``visibility: hidden`` take away; of a closed ``details`` its summary.
+``hidden``, ``display: none`` or ``visibility: hidden`` take away; of a closed ``details`` its summary; of a drawing
+its ``text`` elements, each on a line; of a ``select`` its options, each on a line, as in the rendered text of the HTML standard.
+What stands in a table but in no cell comes before the table.
+
+The time is linear in the page: open elements are found by name, lines and rows are joined once.  Only cells that reach over
+many rows cost a step for each row below them.
 
 Defined results: null and empty pages give the empty text; text without tags is one paragraph; an unclosed tag,
 comment or quote ends with the page or at the next ``>``.  Tables nested more than 20 deep are written as plain
-blocks; their text stays.  Repeated rows stay; columns other than the id and the page are not
+blocks, lists and quotes nested more than 20 deep without further indent; their text stays.  Repeated rows stay; columns other than the id and the page are not
 looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,7 +36,7 @@ from .common import query, rows_of, table, text_steps
 # Element names of the HTML standard by their part in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset(
     "html body div section article aside nav header footer main address form li dt dd tr td th thead tbody tfoot caption "
@@ -41,10 +47,16 @@ ENDS_PARAGRAPH = BLOCKS - frozenset("html body tr td th thead tbody tfoot captio
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set()),
+    "tr": ({"tr", "td", "th"}, set()), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "body": ({"head"}, set()),
+}
+#: An opening tag inside a table closes everything up to the nearest of these.
+_SECTIONS = ("thead", "tbody", "tfoot")
+PARENTS = {
+    **dict.fromkeys(("td", "th"), ("tr", *_SECTIONS, "table")), "tr": (*_SECTIONS, "table"),
+    **dict.fromkeys((*_SECTIONS, "caption"), ("table",)),
 }
+#: Parts of a drawing that are not painted where they stand.
+UNPAINTED = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 #: An end tag does not reach over these.
 FENCES = frozenset("table td th caption button".split())
 IN_HEAD = frozenset("head title meta link style script base noscript template html".split())
@@ -54,6 +66,7 @@ _REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 MAX_TABLES = 20
+MAX_INDENTS = 20
 
 
 class Element:
@@ -112,26 +125,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def tree(page: str) -> Element:
     root = Element("html")
     body, stack = Element("body"), [root]
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements by name
+
+    def push(element: Element) -> None:
+        where[element.name].append(len(stack))
+        stack.append(element)
+
+    def cut(length: int) -> None:
+        while len(stack) > length:
+            where[stack.pop().name].pop()
+
+    def nearest(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
 
     def close(names, fences) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                first = i
-                while first > 1 and stack[first - 1].name in names:
-                    first -= 1
-                del stack[first:]
-                return
-            if stack[i].name in fences:
-                return
+        first = nearest(names)
+        if first > nearest(fences):
+            while first > 1 and stack[first - 1].name in names:
+                first -= 1
+            cut(first)
+
+    def begin_body() -> None:
+        cut(1)
+        root.children.append(body)
+        push(body)
 
     for kind, name, rest in tokens(page):
         if kind == "text" or kind == "open" and name not in IN_HEAD:
             if len(stack) == 1 and name != "body" and (kind == "open" or rest.strip()):
-                root.children.append(body)
-                stack.append(body)
+                begin_body()
             elif stack[-1].name == "head" and (kind == "open" or rest.strip()):
-                stack[1:] = [body]
-                root.children.append(body)
+                begin_body()
         if kind == "text":
             if len(stack) > 1:
                 stack[-1].children.append(unescape(rest))
@@ -140,28 +164,25 @@ def tree(page: str) -> Element:
                 continue
             if name == "body":
                 if len(stack) == 1 or stack[1] is not body:
-                    root.children.append(body)
-                    stack[1:] = [body]
+                    begin_body()
                 body.attributes = body.attributes or rest
                 continue
             if name in ENDS_PARAGRAPH:
                 close({"p"}, FENCES)
-            if name in CLOSES:
+            if name in PARENTS and where["table"]:
+                cut(nearest(PARENTS[name]) + 1)
+            elif name in CLOSES:
                 close(*CLOSES[name])
             element = Element(name, rest)
             stack[-1].children.append(element)
-            if name not in VOID and not (rest.endswith("/") and name in ("svg", "path")):
-                stack.append(element)
+            if name not in VOID and not (rest.endswith("/") and (name in ("svg", "path") or where["svg"])):
+                push(element)
         elif name == "br":
             stack[-1].children.append(Element("br"))
         elif name not in ("body", "html"):
             fences = frozenset() if name in FENCES or name in ("tr", "thead", "tbody", "tfoot") else FENCES
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in fences:
-                    break
+            if nearest((name,)) > nearest(fences):
+                cut(nearest((name,)))
     return root
 
 
@@ -170,31 +191,35 @@ class Writer:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.indents, self.mark = "", False, [], ""
+        self.parts: list[str] = []  # of the open line, none empty
+        self.gap, self.indents, self.mark = False, [], ""
 
     def say(self, text: str, kept: bool) -> None:
         if kept:
             first, *more = text.split("\n")
-            self.line += first
+            self.parts += [first] if first else []
             for part in more:
                 self.end(False, True)
-                self.line = part
+                self.parts = [part] if part else []
             return
         text = _SPACE.sub(" ", text)
-        self.line += text.lstrip(" ") if not self.line or self.line.endswith(" ") else text
+        if not self.parts or self.parts[-1].endswith(" "):
+            text = text.lstrip(" ")
+        if text:
+            self.parts.append(text)
 
     def end(self, spaced: bool, empty: bool = False) -> None:
-        line = self.line.rstrip(" ")
+        line = "".join(self.parts).rstrip(" ")
         if line or empty:
             if self.gap and self.lines:
                 self.lines.append("")
-            indent = "".join(self.indents)
+            indent = "".join(self.indents[:MAX_INDENTS])
             if self.mark:
                 indent = indent[: len(indent) - len(self.mark)] + self.mark
                 self.mark = ""
             self.lines.append((indent + line).rstrip(" "))
             self.gap = False
-        self.line = ""
+        self.parts = []
         self.gap = self.gap or bool(spaced)
 
     def text(self) -> str:
@@ -245,7 +270,7 @@ def render(root: Element, depth: int = 0, shown: bool = True) -> str:
             continue
         shown = see(node, shown)
         if name == "br":
-            writer.end(False, bool(writer.line) or bool(writer.lines) and not writer.gap)
+            writer.end(False, bool(writer.parts) or bool(writer.lines) and not writer.gap)
             continue
         if name == "hr":
             writer.end(True)
@@ -253,7 +278,7 @@ def render(root: Element, depth: int = 0, shown: bool = True) -> str:
         if name == "table" and depth < MAX_TABLES:
             writer.end(True)
             for line in grid(node, depth + 1, shown):
-                writer.line = line
+                writer.parts = [line] if line else []
                 writer.end(False, True)
             writer.end(True)
             continue
@@ -275,6 +300,11 @@ def render(root: Element, depth: int = 0, shown: bool = True) -> str:
             items = sum(isinstance(c, Element) and c.name == "li" for c in node.children)
             numbers = [node.number("start", items if step < 0 else 1) - step, step]
         children = node.children
+        if name == "svg":
+            stack.extend((c, True, visible, kept, None) for c, visible in reversed(painted(node, shown)))
+            continue
+        if name == "select":
+            children = [c for c, _ in inside(node, {"option"}, frozenset(), shown)]
         if name == "details" and node.get("open") is None:
             children = [c for c in children if isinstance(c, Element) and c.name == "summary"][:1]
         if name == "pre" and children and isinstance(children[0], str):
@@ -285,63 +315,104 @@ def render(root: Element, depth: int = 0, shown: bool = True) -> str:
     return writer.text()
 
 
+def inside(node: Element, names, without, shown: bool) -> list[tuple[Element, bool]]:
+    """The nearest elements of these names below a node, with the visibility of their parents."""
+    found, stack = [], [(child, shown) for child in reversed(node.children)]
+    while stack:
+        child, visible = stack.pop()
+        if isinstance(child, str) or child.name in without or unseen(child):
+            continue
+        if child.name in names:
+            found.append((child, visible))
+        else:
+            stack.extend((c, see(child, visible)) for c in reversed(child.children))
+    return found
+
+
+def painted(drawing: Element, shown: bool) -> list[tuple[Element, bool]]:
+    """The texts of a drawing as blocks."""
+    blocks = []
+    for child, visible in inside(drawing, {"text", "foreignobject"}, UNPAINTED, shown):
+        block = Element("div", child.attributes)
+        block.children = child.children
+        blocks.append((block, visible))
+    return blocks
+
+
 def grid(node: Element, depth: int, shown: bool) -> list[str]:
-    """The lines of a table: its caption and other content first, then rows with padded cells."""
-    loose, rows = Element("div"), []
+    """The lines of a table: what stands in no cell, its captions, then rows with padded cells."""
+    loose, captions, rows = [], [], []
     stack = [(child, shown) for child in reversed(node.children)]
     while stack:
         child, visible = stack.pop()
-        if isinstance(child, Element) and child.name in ("thead", "tbody", "tfoot"):
+        name = child.name if isinstance(child, Element) else ""
+        if name in _SECTIONS:
             if not unseen(child):
                 stack.extend((c, see(child, visible)) for c in reversed(child.children))
-        elif isinstance(child, Element) and child.name == "tr":
+        elif name == "tr":
             if not unseen(child):
-                rows.append((child, see(child, visible)))
-        elif isinstance(child, Element) and child.name in ("td", "th"):
-            rows.append((_row_of(child), visible))
-        elif not (isinstance(child, str) and not child.strip()):
-            loose.children.append(child)
-    lines = [x for x in render(loose, depth, shown).split("\n") if x]
+                visible = see(child, visible)
+                rows.append(([c for c in child.children if isinstance(c, Element) and c.name in ("td", "th")], visible))
+                stack.extend((c, visible) for c in reversed(child.children) if isinstance(c, str) or c.name not in ("td", "th"))
+        elif name in ("td", "th"):
+            rows.append(([child], visible))
+        elif name == "caption":
+            captions.append((child, visible))
+        elif name or child.strip():
+            loose.append((child, visible))
+    lines = []
+    for part, visible in [*_together(loose), *_together(captions)]:
+        lines += [x for x in render(part, depth, visible).split("\n") if x]
     placed: list[dict[int, list[str]]] = []
-    held: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows
+    held: list[tuple[int, int, int]] = []  # (first column, end, last row) that a cell from above covers
     widths: dict[int, int] = {}
-    for row, visible in rows:
-        cells, column, following = {}, 0, {c: n - 1 for c, n in held.items() if n > 1}
-        for cell in row.children:
-            if not isinstance(cell, Element) or unseen(cell):
+    for number, (row, visible) in enumerate(rows):
+        held = sorted(h for h in held if h[2] >= number) if held else held
+        cells, column, at, following = {}, 0, 0, []
+        for cell in row:
+            if unseen(cell):
                 continue
-            while column in held:
-                column += 1
+            while at < len(held) and held[at][0] <= column:
+                column = max(column, held[at][1])
+                at += 1
             text = render(cell, depth, see(cell, visible)).split("\n")
             span, down = min(max(1, cell.number("colspan", 1)), 1000), min(max(1, cell.number("rowspan", 1)), 65534)
             cells[column] = text
             if span == 1:
                 widths[column] = max(widths.get(column, 0), *map(len, text))
             if down > 1:
-                following.update({column + i: down - 1 for i in range(span)})
+                following.append((column, column + span, number + down - 1))
             column += span
-        held = following
+        held += following
         placed.append(cells)
-    starts = sorted({c for cells in placed for c in cells})
+    before, offset = {}, 0
+    for c in sorted({c for cells in placed for c in cells}):
+        before[c] = offset
+        offset += widths.get(c, 0) + 2
     for cells in placed:
         if not any("".join(text) for text in cells.values()):
             continue
+        going = sorted(cells.items())
         for k in range(max(map(len, cells.values()))):
-            out = ""
-            for c in starts:
-                if c in cells:
-                    want = sum(widths.get(b, 0) + 2 for b in starts if b < c)
-                    # a wide cell above other columns pushes its line, not the columns
-                    out = out.ljust(want) if len(out) <= want else out + "  "
-                    out += cells[c][k] if k < len(cells[c]) else ""
-            lines.append(out.rstrip())
+            going = [(c, text) for c, text in going if len(text) > k]
+            parts, length = [], 0
+            for c, text in going:
+                # a wide cell above other columns pushes its line, not the columns
+                pad = before[c] - length if length <= before[c] else 2
+                parts += (" " * pad, text[k])
+                length += pad + len(text[k])
+            lines.append("".join(parts).rstrip())
     return lines
 
 
-def _row_of(cell: Element) -> Element:
-    row = Element("tr")
-    row.children.append(cell)
-    return row
+def _together(children: list) -> list[tuple[Element, bool]]:
+    """Neighbours of the same visibility under one element."""
+    out: list[tuple[Element, bool]] = []
+    for child, visible in children:
+        if not out or out[-1][1] != visible:
+            out.append((Element("div"), visible))
+        out[-1][0].children.append(child)
+    return out
 
 
 def page_text(page: str) -> str:

@@ -60,7 +60,7 @@ def test_layout_of_a_page():
     "page, text",
     [("", ""), ("<", "<"), ("<a", ""), ('<a href="x', ""), ("<!--x", ""), ("<div>" * 5000 + "x", "x"), ("<table>" * 300 + "x", "x"),
      ("<table><tr><td>" * 60 + "deep", "deep"), ("</p></div>text", "text"), ("<script>x", ""), ("a<br><br>b", "a\n\nb"),
-     ("a&nbsp;b", "a b"), ("<p>" * 3 + "y", "y"), ("<select><option>a</select>b", "b")],
+     ("a&nbsp;b", "a b"), ("<p>" * 3 + "y", "y"), ("<select><option>a</select>b", "a\nb")],
 )
 def test_odd_pages(page, text):
     assert page_text.page_text(page) == text
