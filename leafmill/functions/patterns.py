@@ -143,3 +143,39 @@ def whole_word(literal: str) -> str:
     before = rf"(?<!{WORD})" if re.match(WORD, literal) else ""
     after = rf"(?!{WORD})" if literal and re.match(WORD, literal[-1]) else ""
     return f"(?s){before}{quote(literal)}{after}"
+
+
+_SIGNS = frozenset("\\.^$*+?()[]{}|")
+
+
+def required_literal(pattern: str, ignore_case: bool = False) -> str:
+    """The longest text that every match of a linear-time expression has to contain; empty if none is certain.
+
+    Looks at what stands outside of groups and brackets and is not optional.  With ``ignore_case`` only
+    ASCII characters count, because the case of the others is not decided alike everywhere.
+    """
+    runs, run, depth, counting = [], "", 0, False
+    for found in _REGEX_ITEM.finditer(pattern):
+        item = found[0]
+        if counting:
+            counting = item != "}"
+            continue
+        if item == "|" and not depth or item[:2] == "(?" and item not in ("(?:", "(?P", "(?<"):
+            return ""  # a choice, or flags that change the meaning of the rest
+        if item[0] == "(":
+            depth += 1
+        elif item == ")":
+            depth -= 1
+        if re.fullmatch(r"\\[^\w\s]", item):
+            plain = item[1:]
+        else:
+            plain = "" if item in _SIGNS else item
+        if depth == 0 and len(plain) == 1 and (plain.isascii() or not ignore_case):
+            run += plain
+            continue
+        if item in ("*", "?", "{"):
+            run = run[:-1]
+        counting = item == "{"
+        runs.append(run)
+        run = ""
+    return max([*runs, run], key=len)

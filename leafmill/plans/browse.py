@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as X
 from ..operators import grep as G
+from ..operators import pattern_table as PT
 from ..operators import tree as T
 from ..operators import view as V
 from ..operators.evaluate import with_position
@@ -593,6 +594,47 @@ def _(spark, sf):
     return G.pattern_checks(files(spark, sf), checks)
 
 
+#: Words of four letters or more; the first two of a document, with one space between them, are a pattern.
+WORD_PAIRS = """pairs AS (SELECT DISTINCT w[1] || ' ' || w[2] AS pattern
+        FROM (SELECT regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents) WHERE len(w) >= 2)"""
+
+
+@query(
+    "grep_pattern_table",
+    f"""WITH {FILES}, {LINES}, {WORD_PAIRS}
+        SELECT pattern, length(pattern) % 2 = 0 AS ignore_case, path, line, text FROM lines JOIN pairs
+          ON CASE WHEN length(pattern) % 2 = 0 THEN contains(lower(text), lower(pattern)) ELSE contains(text, pattern) END""",
+)
+def _(spark, sf):
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    pairs = C.read_table(spark, sf, "documents").select(words.alias("w")).filter(F.size("w") >= 2)
+    patterns = pairs.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("pattern"))
+    patterns = patterns.withColumn("ignore_case", F.length("pattern") % 2 == 0)
+    return PT.grep_table(files(spark, sf), patterns, show_all=True).select("pattern", "ignore_case", "path", "line", "text")
+
+
+@query(
+    "pattern_check_table",
+    f"""WITH {FILES}, {LINES}, words AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}'))) AS w FROM benchmark),
+        low AS (SELECT lower(text) AS t FROM lines), ends AS (SELECT DISTINCT w FROM words),
+        fits AS (SELECT w, bool_or(starts_with(t, w)) AS first, bool_or(contains(t, w || '.') OR contains(t, w || ',')) AS stop FROM ends JOIN low ON contains(t, w) GROUP BY w)
+        SELECT item_id AS label, pattern, CASE WHEN hit THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+          SELECT item_id, '^' || w AS pattern, first AS hit FROM words LEFT JOIN fits USING (w)
+          UNION ALL SELECT item_id, w || '[.,]', stop FROM words LEFT JOIN fits USING (w)
+          UNION ALL SELECT item_id, '^[0-9]{{' || item_id % 7 + 1 || '}}$', (SELECT bool_or(regexp_matches(t, '^[0-9]+$') AND length(t) = item_id % 7 + 1) FROM low) FROM benchmark)""",
+)
+def _(spark, sf):
+    items = C.read_table(spark, sf, "benchmark")
+    words = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("w"))
+    label, digits = F.col("item_id").alias("label"), F.format_string("^[0-9]{%d}$", F.col("item_id") % 7 + 1)
+    checks = (
+        words.select(label, F.concat(F.lit("^"), "w").alias("pattern"))
+        .unionByName(words.select(label, F.concat("w", F.lit("[.,]")).alias("pattern")))
+        .unionByName(items.select(label, digits.alias("pattern")))
+    )
+    return PT.check_table(files(spark, sf), checks)
+
+
 # --- document and line views ------------------------------------------------------
 
 
