@@ -466,17 +466,34 @@ def word_expansions(words: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def search_terms(queries: DataFrame) -> tuple[DataFrame, int | None]:
+    """(query_id, scope, n_terms, slot, term) of substring queries, and the largest number of terms."""
+    rows = with_scope(queries).select("query_id", "scope", X.query_terms("query").alias("terms"))
+    terms = rows.select(
+        "query_id", "scope", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "term")
+    )
+    return terms, rows.agg(F.max(F.size("terms"))).first()[0]
+
+
+def rank_by_terms(pairs: DataFrame, terms: DataFrame, widest: int | None) -> DataFrame:
+    """(query_id, path, matched, rank) from distinct (path, term) and the terms of the queries."""
+    wanted = terms.select("query_id", "scope", "n_terms", "term", *_bits())
+    return (
+        pairs.join(broadcast_if_small(wanted), "term")
+        .filter(P.under("path", F.col("scope")))
+        .groupBy("query_id", "path")
+        .agg(_distinct_slots(widest).alias("matched"), F.first("n_terms").alias("n_terms"))
+        .select("query_id", "path", "matched", (F.col("matched") / F.col("n_terms")).alias("rank"))
+    )
+
+
 def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path, matched, rank): documents that contain terms as substrings.
 
     Terms are runs of letters and digits, so a document contains a term exactly when one
     of its words does; words are counted once per document without a shuffle.
     """
-    rows = with_scope(queries).select("query_id", "scope", X.query_terms("query").alias("terms"))
-    terms = rows.select(
-        "query_id", "scope", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("slot", "term")
-    )
-    widest = rows.agg(F.max(F.size("terms"))).first()[0]
+    terms, widest = search_terms(queries)
     document_words = files.select(
         "path",
         F.explode(F.array_distinct(F.regexp_extract_all(X.lower("content"), F.lit(_RUN), F.lit(0)))).alias("word"),
@@ -486,14 +503,7 @@ def substring_found(files: DataFrame, queries: DataFrame) -> DataFrame:
     # a word that many queries touch does not multiply the words of the documents.
     expansions = durable(expansions, "words")
     pairs = document_words.join(broadcast_if_small(expansions), "word").select("path", "term").distinct()
-    wanted = terms.select("query_id", "scope", "n_terms", "term", *_bits())
-    return (
-        pairs.join(broadcast_if_small(wanted), "term")
-        .filter(P.under("path", F.col("scope")))
-        .groupBy("query_id", "path")
-        .agg(_distinct_slots(widest).alias("matched"), F.first("n_terms").alias("n_terms"))
-        .select("query_id", "path", "matched", (F.col("matched") / F.col("n_terms")).alias("rank"))
-    )
+    return rank_by_terms(pairs, terms, widest)
 
 
 def substring_page(found: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
