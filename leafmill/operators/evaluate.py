@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable
+from .pattern_table import documents_holding
 
 # The line forms of printed search results, and the events of a trace.
 RESULT_LINE = r"(?dm)^(/\S+)    \[rank: "
@@ -306,7 +307,7 @@ def containing_documents(files: DataFrame, needles: DataFrame) -> DataFrame:
     Words inside a text (with a separator on both sides) are whole words of every document
     that contains it.  A run of such words is the join key, so texts and documents never
     form a product; the full text is then compared.  Texts with fewer inner words than a run
-    use shorter runs.  A text without inner words needs ``grep_many``.
+    use shorter runs.  Texts without inner words meet the documents by their rarest character n-gram.
     """
     inner = F.regexp_extract_all("needle", F.lit(_INNER), F.lit(0))
     keyed = (
@@ -316,8 +317,15 @@ def containing_documents(files: DataFrame, needles: DataFrame) -> DataFrame:
         .withColumn("anchor", F.array_join(F.slice("words", F.col("start"), F.col("length")), " "))
     )
     lengths = [r[0] for r in keyed.select("length").distinct().limit(ANCHOR_WORDS + 1).collect()]
+    wordless = None
     if 0 in lengths:
-        raise ValueError("a text without inner words cannot be an anchor; use grep_many")
+        lengths.remove(0)
+        others = keyed.filter("length = 0").select("needle_id", "needle")
+        held = documents_holding(files, others)
+        wordless = held.join(broadcast_if_small(others), "needle").select("needle_id", "path")
+        keyed = keyed.filter("length > 0")
+        if not lengths:
+            return wordless
     words = files.select(
         "path", "content", F.regexp_extract_all("content", F.lit(_WORD), F.lit(0)).alias("words")
     )
@@ -327,12 +335,13 @@ def containing_documents(files: DataFrame, needles: DataFrame) -> DataFrame:
     pairs = candidates.join(broadcast_if_small(keyed.select("needle_id", "needle", "anchor")), "anchor").select(
         "path", "needle_id", "needle"
     )
-    return (
+    found = (
         files.select("path", "content")
         .join(pairs, "path")
         .filter(F.contains("content", F.col("needle")))
         .select("needle_id", "path")
     )
+    return found if wordless is None else found.unionByName(wordless)
 
 
 # --- printed results as traces ----------------------------------------------------

@@ -104,3 +104,15 @@ def test_wrong_and_repeated_checks(spark, make_files):
         PT.grep_table(files, spark.createDataFrame([("a(?=b)", True)], "pattern string, regex boolean"))
     checks = spark.createDataFrame([("a", "^THE"), ("a", "^THE"), ("b", "zebra"), ("c", None)], "label string, pattern string")
     assert sorted(values(PT.check_table(files, checks), "label", "status")) == [("a", "PASS"), ("a", "PASS"), ("b", "FAIL"), ("c", "FAIL")]
+
+
+def test_texts_without_inner_words_meet_documents(spark, make_files):
+    from leafmill.operators.evaluate import containing_documents
+
+    files = make_files({"/a": "one two three four", "/b": "漢字\nx!", "/c": "", "/d": "xx two thre"})
+    needles = [(1, "two three four"), (2, "漢字\nx"), (3, "x"), (4, "two"), (5, ""), (6, "none here at all"), (7, "x"), (8, "#")]
+    got = values(containing_documents(files, spark.createDataFrame(needles, "needle_id long, needle string")), "needle_id", "path")
+    texts = {r.path: r.content for r in files.collect()}
+    assert sorted(got) == sorted((i, path) for i, n in needles for path, text in texts.items() if n in text)
+    only = spark.createDataFrame([(1, "字\nx")], "needle_id long, needle string")
+    assert values(containing_documents(files, only), "needle_id", "path") == [(1, "/b")]
