@@ -1,4 +1,4 @@
-"""Prediction by partial matching over words, written plainly with dictionaries."""
+"""Prediction by partial matching over whole texts, written plainly with dictionaries."""
 
 import math
 import zlib
@@ -17,16 +17,18 @@ class Plain:
                 continue
             for word in self.words(text):
                 self.tokens[word] += 1
-                for context, sign in self.steps(word):
-                    for k in range(len(context) + 1):
-                        self.counts[context[len(context) - k :]][sign] += 1
+            for context, sign in self.steps(text):
+                for k in range(len(context) + 1):
+                    self.counts[context[len(context) - k :]][sign] += 1
         self.total = sum(self.tokens.values())
 
     def words(self, text):
         return [*(text or "").encode().lower().split(), b""]
 
-    def steps(self, word):
-        signs = [END, *word, END] if word else [END, STOP]
+    def steps(self, text):
+        signs = [END]
+        for word in self.words(text):
+            signs += [*word, END] if word else [STOP]
         for i in range(1, len(signs)):
             yield tuple(signs[max(0, i - self.order) : i]), signs[i]
 
@@ -48,5 +50,5 @@ class Plain:
         words = self.words(text)
         v = len(self.tokens)
         base = sum(math.log10((self.tokens.get(w, 0) + 1) / (self.total + v + 1)) for w in words)
-        score = sum(self.sign(c, s) for w in words for c, s in self.steps(w))
+        score = sum(self.sign(c, s) for c, s in self.steps(text))
         return len(words), sum(w in self.tokens for w in words), self.total, base, score

@@ -272,15 +272,16 @@ def test_order_minhash(spark):
     assert order_minhash.edited_likeness(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("frequent, most_grams", [(20, partial_matching.MOST_GRAMS), (0, partial_matching.MOST_GRAMS)])
-def test_partial_matching(spark, frequent, most_grams):
+@pytest.mark.parametrize("frequent, most_grams", [(20, partial_matching.MOST_GRAMS), (0, 0)])
+def test_partial_matching(spark, monkeypatch, frequent, most_grams):
+    monkeypatch.setattr(partial_matching, "BLOCK_BYTES", 700)
     draw = random.Random(11)
     words = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(1, 7))) for _ in range(80)]
     texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(0, 40))) for _ in range(60)] + [None, "", "ABC abc\x0bABC", "z" * 3000]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 5) for i, t in rows] + [(None, "ab ab", 5), (2, texts[2], 5)], "doc_id long, text string, row int").repartition(3)
     plain = brute_matching.Plain([*rows, (None, "ab ab"), rows[2]], partial_matching.ORDER)
-    got = partial_matching.score_documents(df, frequent=frequent).collect()
+    got = partial_matching.score_documents(df, frequent=frequent, most_grams=most_grams).collect()
     assert len(got) == len(rows) + 2
     texts_of = dict(rows) | {None: "ab ab"}
     for r in got:
@@ -289,10 +290,45 @@ def test_partial_matching(spark, frequent, most_grams):
         assert r.base_score == pytest.approx(want[3]) and r.score == pytest.approx(want[4])
 
 
-def test_partial_matching_without_broadcast(spark):
-    words = spark.createDataFrame([(bytearray(b"abc"), 3), (bytearray(b"abd"), 1), (bytearray(b"xyz"), 0), (bytearray(b""), 2)], "word binary, c long")
-    one = {bytes(r.word): r.score for r in partial_matching.word_scores(words).collect()}
-    two = {bytes(r.word): r.score for r in partial_matching.word_scores(words, most_grams=0).collect()}
-    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
-    empty = words.limit(0).select(F.lit(1).cast("long").alias("doc_id"), F.lit("").alias("text"))
-    assert partial_matching.score_documents(empty).count() == 0
+def test_partial_matching_knows_the_order_of_words(spark):
+    """Held-out copies of training passages cost less than the same words in reverse order and less than fresh words."""
+    draw = random.Random(5)
+    passages = [" ".join("".join(draw.choice("aeioknrst") for _ in range(4)) for _ in range(30)) for _ in range(20)]
+    held = [i for i in range(400) if partial_matching.held_out(i)]
+    train = [i for i in range(400) if not partial_matching.held_out(i)]
+    rows = [*zip(train, passages), *zip(held, passages), *zip(held[20:], (" ".join(p.split()[::-1]) for p in passages))]
+    got = {r.doc_id: r.score for r in partial_matching.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[held[i]] > 0.8 * got[held[20 + i]] for i in range(20))
+    assert partial_matching.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 3, 7, 1000])
+def test_windows_of_signs(window):
+    """Windows of any length give the grams of the whole texts."""
+    texts = [b"", b"ab  CD\te", b"x" * 40, b" ", b"one two three"]
+    parts = list(partial_matching.windows(texts, 6, window))
+    got = [(int(t), int(g)) for text, gram in parts for t, g in zip(text, gram, strict=True)]
+    want = []
+    for number, text in enumerate(texts):
+        signs = [partial_matching.WORD_END]
+        for word in text.lower().split():
+            signs += [b + 1 for b in word] + [partial_matching.WORD_END]
+        signs.append(partial_matching.TEXT_END)
+        want += [(number, sum(s << (9 * j) for j, s in enumerate(signs[max(0, i - 6) : i + 1][::-1]))) for i in range(1, len(signs))]
+    assert got == want
+
+
+def test_gram_counts_beyond_memory():
+    """Counts that are sent in parts sum up to the whole."""
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat", "a dog ran off", "the cat ran"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sums = []
+    for held in (1, 20, 10**6):
+        total = {}
+        for part in partial_matching._count_grams(5, held)(iter([batch])):
+            for gram, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                total[gram] = total.get(gram, 0) + n
+        sums.append(total)
+    assert sums[0] == sums[1] == sums[2]
