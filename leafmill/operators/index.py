@@ -12,8 +12,10 @@ from .errors import InvalidParameter
 
 # Number of lexeme buckets of a stored index; readers prune to the buckets of a query.
 INDEX_BUCKETS = 256
-# Files that one bucket can be spread over, so that a frequent lexeme is not one file.
-BUCKET_SPREAD = 4
+# Rows of one file of a stored index.
+FILE_ROWS = 1_000_000
+# Lexemes that the frequency sketch follows, and the most frequent ones that it names.
+LEXEMES_TRACKED, LEXEMES_NAMED = 50_000, 2000
 
 
 def bucket_of(lexeme: Column | str) -> Column:
@@ -76,18 +78,68 @@ def build_index(
     return postings
 
 
-def write_index(postings: DataFrame, folder: str) -> None:
-    """Store postings by lexeme bucket, sorted by lexeme inside each file."""
+def heavy_lexemes(postings: DataFrame, rows: int = FILE_ROWS, tracked: int = LEXEMES_TRACKED, named: int = LEXEMES_NAMED) -> DataFrame:
+    """(lexeme, n): the lexemes with more than ``rows`` postings, with their exact number.
+
+    A sketch of bounded size, merged over tasks, names the candidates: it overstates a
+    frequency by at most 3.5 / (tracked / 0.75) of all postings, and what it does not follow has no more than
+    that.  Where this is not below ``rows``, or all that it names are heavy, every lexeme is counted instead.
+    """
+    named = min(named, tracked)
+    total, found = postings.agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(lexeme, {named}, {tracked})")
+    ).first()
+    candidates = [r["item"] for r in found or [] if r["count"] > rows]
+    sure = total * 3.5 * 0.75 / tracked < rows and len(candidates) < named
+    kept = postings.filter(F.col("lexeme").isin(candidates)) if sure else postings
+    return kept.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+
+
+def file_parts(postings: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
+    """Postings with ``bucket``, ``owner`` and ``part``: the rows of one file share all three.
+
+    A heavy lexeme owns files in proportion to its rows and is dealt over them by path.  The other lexemes
+    of a bucket are dealt over its files by lexeme, so that each stays in one.
+    """
+    from ..session import broadcast_if_small, durable
+
+    heavy = durable(heavy_lexemes(postings, rows), "heavy").select(
+        "lexeme", F.ceil(F.col("n") / rows).alias("salts")
+    )
+    dealt = postings.withColumn("bucket", bucket_of("lexeme")).join(broadcast_if_small(heavy), "lexeme", "left")
+    light = durable(
+        dealt.filter("salts is null").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / rows).alias("files")), "light"
+    )
+    # at most one row per bucket
+    dealt = dealt.join(F.broadcast(light), "bucket", "left")
+    is_heavy = F.col("salts").isNotNull()
+    return dealt.select(
+        *postings.columns, "bucket", F.when(is_heavy, F.col("lexeme")).alias("owner"),
+        F.when(is_heavy, F.pmod(F.xxhash64("path"), F.col("salts")))
+        .otherwise(F.pmod(F.hash("lexeme"), F.col("files"))).alias("part"),
+    )
+
+
+def write_index(postings: DataFrame, folder: str, rows: int = FILE_ROWS) -> None:
+    """Store postings by lexeme bucket, sorted by lexeme inside each file of at most ``rows`` rows.
+
+    The number of tasks grows with the postings.
+    """
+    from ..session import durable, forget
+
+    made = durable(postings, "postings")  # counted and dealt without splitting the texts again
+    tasks = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // rows))
     (
-        postings.withColumn("bucket", bucket_of("lexeme"))
-        .withColumn("_spread", F.pmod(F.xxhash64("path"), F.lit(BUCKET_SPREAD)))
-        .repartition("bucket", "_spread")
-        .drop("_spread")
+        file_parts(made, rows)
+        .repartition(tasks, "bucket", "owner", "part")
+        .drop("owner", "part")
         .sortWithinPartitions("bucket", "lexeme", "path")
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows)
         .partitionBy("bucket")
         .parquet(folder)
     )
+    forget(made)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

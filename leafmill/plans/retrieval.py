@@ -205,6 +205,14 @@ def _(spark, sf):
     )
 
 
+@query(
+    "index_heavy_lexemes",
+    f"WITH {FILES}, {TEXT_POSTINGS} SELECT lexeme, count(*) AS n FROM text_postings GROUP BY lexeme HAVING count(*) > 300",
+)
+def _(spark, sf):
+    return I.heavy_lexemes(durable(I.text_postings(files(spark, sf), "zh"), "postings"), 300)
+
+
 @query(
     "index_update",
     f"""WITH {FILES}, {TEXT_POSTINGS} SELECT path, lexeme, tf FROM text_postings WHERE path NOT LIKE '%7.md'
