@@ -133,6 +133,26 @@ def _(spark, sf):
     return M.apply(corpus, requests)[0].select("path", "size")
 
 
+EMPTIED = r"^/corpus/(src1|src3)/|^/corpus/src5/en/|^/web/"
+BEFORE = FILES.replace("files AS (", "before AS (", 1)
+
+
+@query(
+    "write_emptied_directories",
+    f"""WITH {BEFORE}, files AS (SELECT path FROM before WHERE NOT regexp_matches(path, '{EMPTIED}') UNION ALL SELECT '/corpus/src3/en/again.md'), {DIRS} SELECT path FROM dirs""",
+)
+def _(spark, sf):
+    """Directories after each of their documents was deleted on its own, and one was written anew."""
+    corpus = files(spark, sf)
+    instant = C.instant(F.lit("2025-01-01 00:00:00"))
+    gone = corpus.filter(F.col("path").rlike(EMPTIED)).select("path", F.crc32("path").alias("seq"))
+    again = corpus.agg(F.lit("/corpus/src3/en/again.md").alias("path"), F.lit(1 << 40).alias("seq"))
+    requests = as_requests(gone, op=F.lit("delete"), ts=instant).unionByName(
+        as_requests(again, op=F.lit("put"), content=F.lit("x"), ts=instant)
+    )
+    return T.directories(M.apply(corpus, requests)[0]).select("path")
+
+
 @query(
     "write_equal_conditions",
     f"""WITH {FILES} SELECT path, k, CASE WHEN k = 0 THEN 'OK' ELSE 'CONFLICT' END AS outcome FROM files, (SELECT unnest([0, 1, 2])::BIGINT AS k) WHERE starts_with(path, '/corpus/')""",
