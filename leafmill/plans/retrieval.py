@@ -248,12 +248,13 @@ def _(spark, sf):
 # --- search -----------------------------------------------------------------------
 
 
-def _matched(spark, sf, with_summaries: bool = True):
+def _postings(spark, sf):
     corpus = files(spark, sf)
-    postings = I.text_postings(corpus, "zh")
-    if with_summaries:
-        postings = postings.unionByName(I.summary_postings(first_texts(corpus), "zh"))
-    return S.matches(postings, S.query_lexemes(benchmark_queries(spark, sf), "zh"))
+    return I.text_postings(corpus, "zh").unionByName(I.summary_postings(first_texts(corpus), "zh"))
+
+
+def _matched(spark, sf):
+    return S.matches(_postings(spark, sf), S.query_lexemes(benchmark_queries(spark, sf), "zh"))
 
 
 def _page_matched(spark, sf, **page):
@@ -321,8 +322,7 @@ def _(spark, sf):
 
 @query("search_candidates", f"WITH {SEARCH} SELECT query_id, path, matched, round(score, 9) AS score FROM found")
 def _(spark, sf):
-    matched = durable(_matched(spark, sf), "matches")
-    found = S.found_documents(matched, S.directory_candidates(matched))
+    found = S.candidate_documents(_postings(spark, sf), S.query_lexemes(benchmark_queries(spark, sf), "zh"))
     return found.select("query_id", "path", "matched", F.round("score", 9).alias("score"))
 
 
