@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable
 from .pattern_table import documents_holding
+from .search import holding_counter
 
 # The line forms of printed search results, and the events of a trace.
 RESULT_LINE = r"(?dm)^(/\S+)    \[rank: "
@@ -286,6 +287,8 @@ def recall_at_k(hits: DataFrame, evidence: DataFrame, ks: tuple[int, ...] = (1,
 _WORD = r"[\p{L}\p{Nd}]+"
 _INNER = r"(?<=[^\p{L}\p{Nd}])[\p{L}\p{Nd}]+(?=[^\p{L}\p{Nd}])"
 ANCHOR_WORDS = 4
+# Texts, and bytes of them, that every task gets.
+MOST_TEXTS, MOST_TEXT_BYTES = 200_000, 4 << 20
 
 
 def _word_runs(words: Column, length: int) -> Column:
@@ -301,14 +304,33 @@ def _word_runs(words: Column, length: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _held_in_place(files: DataFrame, needles: DataFrame) -> DataFrame | None:
+    """The result of :func:`containing_documents` from a walk over the bytes of each document; None if a task cannot hold the texts."""
+    rows = needles.filter("needle is not null").select("needle_id", "needle")
+    size = F.octet_length("needle")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size"), F.min(size).alias("least")).first()
+    if not total.least or total.n > MOST_TEXTS or total.size > MOST_TEXT_BYTES:
+        return None
+    texts = [r.needle for r in rows.select("needle").distinct().collect()]
+    if (counter := holding_counter(texts)) is None:
+        return None
+    named = rows.sparkSession.createDataFrame(list(enumerate(texts)), "number int, needle string")
+    named = broadcast_if_small(rows.join(named, "needle").select("needle_id", "number"))
+    held = files.filter("content is not null").select("path", F.col("content").alias("text")).mapInArrow(counter, "path string, numbers array<int>")
+    return held.select("path", F.explode("numbers").alias("number")).join(named, "number").select("needle_id", "path")
+
+
 def containing_documents(files: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle_id, path): documents that contain each text exactly.
 
-    Words inside a text (with a separator on both sides) are whole words of every document
+    Few texts are looked for where the documents are, which are not moved.  More, empty or very long ones meet them by
+    keys: words inside a text (with a separator on both sides) are whole words of every document
     that contains it.  A run of such words is the join key, so texts and documents never
     form a product; the full text is then compared.  Texts with fewer inner words than a run
     use shorter runs.  Texts without inner words meet the documents by their rarest character n-gram.
     """
+    if (found := _held_in_place(files, needles)) is not None:
+        return found
     inner = F.regexp_extract_all("needle", F.lit(_INNER), F.lit(0))
     keyed = (
         needles.select("needle_id", "needle", inner.alias("words"))

@@ -35,7 +35,7 @@ def _count_rows(rows: DataFrame, text: Column, language: str, source: str, kind:
     return (
         rows.select("path", kind.alias("kind"), text.alias("_text"))
         .select("path", "kind", X.lower("_text").alias("_low"))
-        .select("path", "kind", F.array_sort(lexemes(X.bag_of_lower("_low"), language)).alias("_sorted"))
+        .select("path", "kind", F.sort_array(lexemes(X.bag_of_lower("_low"), language)).alias("_sorted"))
         .select("path", "kind", "_sorted", X.run_starts("_sorted").alias("_starts"))
         .select("path", "kind", F.inline(X.run_lengths("_sorted", "_starts")))
         .select("path", F.lit(source).alias("source"), "kind", "lexeme", "tf")

@@ -210,8 +210,9 @@ def _(spark, sf):
     from ..operators import search as R
 
     corpus = files(spark, sf)
-    rows = R.query_lexemes(benchmark_queries(spark, sf), "zh")
-    page = R.top_page(R.found_documents(R.matches(I.text_postings(corpus, "zh"), rows)))
+    rows = durable(R.query_lexemes(benchmark_queries(spark, sf), "zh"), "queries")
+    matched = R.page_matches(R.relevant(I.text_postings(corpus, "zh"), rows), corpus, rows)
+    page = durable(R.top_page(R.found_documents(matched)), "page")
     evidence = durable(evidence_documents(spark, sf), "evidence")
     return E.recall_at_k(page, evidence).withColumn("recall", F.round("recall", 9))
 

@@ -293,8 +293,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = scratch_path(spark, "index")
-    I.write_index(I.text_postings(files(spark, sf), "zh"), folder)
-    matched = S.matches(I.read_index(spark, folder), S.query_lexemes(benchmark_queries(spark, sf), "zh"))
+    corpus = files(spark, sf)
+    I.write_index(I.text_postings(corpus, "zh"), folder)
+    rows = durable(S.query_lexemes(benchmark_queries(spark, sf), "zh"), "queries")
+    matched = S.page_matches(S.relevant(I.read_index(spark, folder), rows), corpus, rows)
     return S.top_page(S.found_documents(matched)).select("query_id", "place", "path", "matched")
 
 

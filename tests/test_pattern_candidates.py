@@ -31,3 +31,20 @@ def test_documents_are_not_moved_and_both_ways_agree(spark, make_files, monkeypa
     assert "hashpartitioning(path" not in check()
     monkeypatch.setattr(PT, "MOST_KEYS", 5)
     check()
+
+
+def test_texts_are_found_where_documents_are(spark, make_files, monkeypatch):
+    """Both ways give each pair once: beside the documents, and by keys for more texts than a task takes."""
+    from leafmill.operators import evaluate as E
+
+    files = make_files({f"/{n}.md": f"naïve tea {n % 3} — line\nof 漢字 text {'x' * n} end" for n in range(12)}).unionByName(
+        make_files({"/long.md": "abab" * 400_000 + " tail of it all"})
+    )
+    texts = ["tea 1 — line", "naïve", "字 text", "xxx end", "abab tail of it", "not here", "tea 1 — line", "é"]
+    needles = spark.createDataFrame([*enumerate(texts), (99, None)], "needle_id long, needle string")
+    want = sorted((n, r.path) for r in files.collect() for n, t in enumerate(texts) if t in r.content)
+    found = E.containing_documents(files, needles)
+    assert sorted(values(found, "needle_id", "path")) == want
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(E, "MOST_TEXTS", 2)
+    assert sorted(values(E.containing_documents(files, needles.filter("needle is not null")), "needle_id", "path")) == want
