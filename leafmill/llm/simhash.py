@@ -148,13 +148,23 @@ def with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.select("cell", "print", F.coalesce("root", "print").alias("comp"))
 
 
+def several(members: DataFrame) -> DataFrame:
+    """The members (cell, comp, ...) of the cells that hold several components."""
+    inside = Window.partitionBy("cell")
+    rows = members.withColumn("c0", F.min("comp").over(inside)).withColumn("c1", F.max("comp").over(inside))
+    return rows.filter("c0 < c1").drop("c0", "c1")
+
+
 def rest(members: DataFrame, limit: int, block: int) -> DataFrame:
     """(a, b): every link between different components inside the cells of ``members`` (cell, print, comp), distinct."""
-    sizes = members.groupBy("cell", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    inside = Window.partitionBy("cell")
+    sized = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("cell", "comp")))
     # members outside the largest component are dealt into blocks; every block meets all members
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    each = members.join(sizes.withColumn("blocks", blocks), "cell")
+    each = sized.select(
+        *members.columns,
+        F.max_by("comp", F.struct("size", "comp")).over(inside).alias("main"),
+        F.ceil(F.count(F.lit(1)).over(inside) / block).cast("int").alias("blocks"),
+    )
     x = each.filter("comp <> main").withColumn("block", F.pmod(F.hash("print"), F.col("blocks")))
     y = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = x.alias("x"), y.alias("y")
@@ -179,13 +189,9 @@ def print_components(prints: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS
     for number in range(rounds):
         rows = with_component(members, labels)
         turn = F.col("print") if number == 0 else F.xxhash64("print", "cell", F.lit(number))
-        hubs = rows.groupBy("cell").agg(
-            F.min(F.struct(turn.alias("turn"), F.col("print").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"),
-            F.min("comp").alias("c0"),
-            F.max("comp").alias("c1"),
-        )
-        hubs = hubs.filter("c0 < c1").select("cell", "h.hub", "h.hub_comp")
-        rows = durable(rows.join(hubs, "cell"), "open")
+        hub = F.min(F.struct(turn.alias("turn"), F.col("print").alias("hub"), F.col("comp").alias("hub_comp"))).over(inside)
+        rows = several(rows.withColumn("h", hub)).select("cell", "print", "comp", "h.hub", "h.hub_comp")
+        rows = durable(rows, "open")
         kept.append(rows)
         found = rows.filter("comp <> hub_comp").filter(near(F.col("print"), F.col("hub"), limit))
         found = durable(found.select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct(), "links")
@@ -194,9 +200,9 @@ def print_components(prints: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS
             break
         links.append(found)
         labels = components(united(links))
-    rows = with_component(members, labels)
-    several = rows.groupBy("cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("cell")
-    found = durable(rest(durable(rows.join(several, "cell"), "unfinished"), limit, block), "links")
+    unfinished = durable(several(with_component(members, labels)), "unfinished")
+    kept.append(unfinished)
+    found = durable(rest(unfinished, limit, block), "links")
     if found.take(1):
         links.append(found)
         labels = components(united(links))

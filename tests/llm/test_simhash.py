@@ -123,3 +123,24 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert S.simhash_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_members_of_cells_are_joined_in_blocks_only(spark):
+    """A cell's sizes and open components come from windows; only the blocks of the exact finish are joined."""
+    draw = random.Random(11)
+    rows = [(cell, cell * 100 + n, cell * 100 + draw.choice([0, 0, n])) for cell in range(4) for n in range(12)]
+    members = spark.createDataFrame(rows, "cell long, print long, comp long")
+    want = {c for c in range(4) if len({comp for cell, _, comp in rows if cell == c}) > 1}
+    assert {r.cell for r in S.several(members).collect()} == want
+    pairs = S.rest(members, 4, 5)
+    near = {
+        (min(a, b), max(a, b)) for c, a, x in rows for d, b, y in rows
+        if c == d and x != y and bin(a ^ b).count("1") <= 4 and bin(S_point(a) ^ S_point(b)).count("1") <= 4
+    }
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} == near
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def S_point(value):
+    some, both = (value | value >> 1) & S._LOW, value & value >> 1 & S._LOW
+    return some | both << 1
