@@ -47,8 +47,8 @@ ALPHABET = 258
 FREQUENT_WORDS, FREQUENT_BYTES = 200_000, 64
 MOST_GRAMS = 4_000_000
 _FLUSH = 300_000
-#: Signs that are looked at together, different grams that a task holds, bytes of a block of texts.
-WINDOW, HELD_GRAMS, BLOCK_BYTES = 1 << 18, 4_000_000, 8 << 20
+#: Signs that are looked at together, different grams that a task holds and those not yet merged with them, bytes of a block of texts.
+WINDOW, HELD_GRAMS, LOOSE_GRAMS, BLOCK_BYTES = 1 << 18, 2_000_000, 1_000_000, 8 << 20
 
 _WORDS = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 _GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
@@ -129,7 +129,9 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return code[first], np.add.reduceat(count, first)
 
 
-def _count_grams(order: int, held: int = HELD_GRAMS):
+def _count_grams(order: int, held: int = HELD_GRAMS, loose: int = LOOSE_GRAMS):
+    loose = min(loose, held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -143,7 +145,7 @@ def _count_grams(order: int, held: int = HELD_GRAMS):
                     codes.append(code)
                     counts.append(n * weight)
                     size += len(code)
-                    if size - whole > held:
+                    if size - whole > loose:
                         code, n = merged(codes, counts)
                         codes, counts, size = [code], [n], len(code)
                         whole = size

@@ -332,3 +332,18 @@ def test_gram_counts_beyond_memory():
                 total[gram] = total.get(gram, 0) + n
         sums.append(total)
     assert sums[0] == sums[1] == sums[2]
+
+
+def test_grams_not_yet_merged_are_bounded(monkeypatch):
+    """A task holds its different grams and at most ``loose`` and a window besides."""
+    import os
+
+    import pyarrow as pa
+
+    from leafmill.llm import partial_matching
+
+    merged, most = partial_matching.merged, []
+    monkeypatch.setattr(partial_matching, "merged", lambda codes, counts: (most.append(sum(map(len, codes))), merged(codes, counts))[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(60), pa.int64()), "text": [os.urandom(3000).hex() for _ in range(60)]})
+    rows = sum(part.num_rows for part in partial_matching._count_grams(5, 500_000, 5000)(iter([batch] * 3)))
+    assert rows and max(most) <= 500_000 + 5000 + partial_matching.WINDOW
