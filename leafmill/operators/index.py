@@ -123,16 +123,16 @@ def file_parts(postings: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
 def write_index(postings: DataFrame, folder: str, rows: int = FILE_ROWS) -> None:
     """Store postings by lexeme bucket, sorted by lexeme inside each file of at most ``rows`` rows.
 
-    The number of tasks grows with the postings.
+    Each task writes one range of (bucket, lexeme, path) of about ``rows`` rows, so that its memory does not grow with
+    the postings, however frequent a lexeme is; their number does.
     """
     from ..session import durable, forget
 
     made = durable(postings, "postings")  # counted and dealt without splitting the texts again
     tasks = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // rows))
     (
-        file_parts(made, rows)
-        .repartition(tasks, "bucket", "owner", "part")
-        .drop("owner", "part")
+        made.withColumn("bucket", bucket_of("lexeme"))
+        .repartitionByRange(tasks, "bucket", "lexeme", "path")
         .sortWithinPartitions("bucket", "lexeme", "path")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", rows)
