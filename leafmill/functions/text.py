@@ -17,6 +17,8 @@ _HAN_PAIR = r"(?=(\p{IsHan}{2}))"
 _LONE_HAN = r"(?<!\p{IsHan})\p{IsHan}(?!\p{IsHan})"
 _TERM = rf"(?=(\p{{IsHan}}{{2}}|{_LONE_HAN}|{_OTHER}))(?:\p{{IsHan}}|{_OTHER})"
 _BLANK = r"\p{IsWhite_Space}"
+# The same characters; both ends are cut without a look at what lies between.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(value: Column | str) -> Column:
@@ -40,7 +42,7 @@ def lines(content: Column | str) -> Column:
 
 def trim(text: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(_col(text), rf"\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(_col(text), F.lit(_BLANKS))
 
 
 def is_blank(text: Column | str) -> Column:
