@@ -49,6 +49,9 @@ LEAST_ROUNDS = 4
 DRAWS = 1
 SMALL = 16
 
+#: Bytes of text whose shingles a task hashes at once; the arrays of a step take about 50 times that.
+STEP = 1 << 17
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _random = np.random.Generator(np.random.PCG64(20240611))
@@ -152,7 +155,7 @@ FEW_LINKS = 200_000
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for rows, texts in text_steps(batches):
+    for rows, texts in text_steps(batches, STEP):
         sets = shingle_sets(texts, powers)
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = [[]] * len(sets)
@@ -168,7 +171,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for rows, texts in text_steps(batches):
+    for rows, texts in text_steps(batches, STEP):
         sets = [s.view(np.int64) for s in shingle_sets(texts, powers)]
         yield rows_of(SETS, rows.column(0).cast(pa.int64()), sets)
 
