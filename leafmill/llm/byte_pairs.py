@@ -6,9 +6,10 @@ every neighbouring pair passes that test is the one that the merges give.  Readi
 byte, the transducer follows all open readings at once: each is the tokens since the last certain
 one and a place in the trie.  Where all readings agree on their first tokens, these are emitted;
 as no reading is open for longer than the longest token, so is the lookahead.  A set of readings
-is a state; states and their moves are made when first needed and are thrown away together when
-there are too many, which bounds the memory.  A move that is needed for the first time is not made yet: what is left of a
-piece of at most 64 bytes is followed one reading after the other, as most pieces are rare.  A worker keeps its transducer from task to task.
+is a state; states and their moves are made when needed and are thrown away together when
+there are too many, which bounds the memory.  Most pieces are rare, so a move is made when it is needed for the
+32nd time; until then, what is left of a piece of at most 64 bytes is followed from its state without making states, the readings of
+all new pieces of a step side by side in arrays.  A worker keeps its transducer from task to task.
 
 Defined results: null is the empty text and gives no ids; a null list of ids decodes to the
 empty text; ids that do not decode to valid UTF-8 give U+FFFD per maximal broken part.  Unknown ids raise an error.
@@ -51,14 +52,17 @@ def merge(data: bytes, ranks: dict[bytes, int], below: int | None = None) -> lis
 
 
 class State(dict):
-    """Moves by byte, each (emitted tokens, next state), or None if needed once; ``last`` is the last emitted token."""
+    """Moves by byte, each (emitted tokens, next state), or how often it was needed; ``last`` is the last emitted token.
 
-    __slots__ = ("last", "readings")
+    ``nodes`` and ``lefts`` are the readings' places in the trie and last tokens, as ``follow`` takes them.
+    """
+
+    __slots__ = ("last", "readings", "nodes", "lefts")
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pairs: int = 400_000):
-        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pairs: int = 400_000, needs: int = 32):
+        self.ranks, self.max_states, self.max_pairs, self.needs = ranks, max_states, max_pairs, needs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token: list[int | None] = [None]
@@ -73,12 +77,14 @@ class Transducer:
             self.token[node] = rank
         self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple] = {}
+        self.trie = Trie(self.child, self.token)
+        self.fits = Fits(self)
         self.reset()
 
     def reset(self) -> None:
         """Throw all states away; they point to each other, so the collector has to look for them."""
         self.states: dict[tuple, State] = {}
-        self.first = 0  # moves needed once
+        self.first = 0  # moves needed, but not made
         gc.collect()
         self.start = self.state(None, (((), 0),))
 
@@ -87,6 +93,9 @@ class Transducer:
         if key not in self.states:
             made = self.states[key] = State()
             made.last, made.readings = last, readings
+            none = len(self.ranks)
+            lefts = [tokens[-1] if tokens else last for tokens, _ in readings]
+            made.nodes, made.lefts = [node for _, node in readings], [none if left is None else left for left in lefts]
         return self.states[key]
 
     def spines(self, token: int) -> tuple[list, list] | None:
@@ -164,67 +173,211 @@ class Transducer:
         step = state[byte] = (upto_here[:sure], self.state(last, tuple(readings)))
         return step
 
-    def options(self, node: int, data: bytes, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that a reading at this place of the trie can end with, the shortest first."""
-        child, token_of, found = self.child, self.token, []
-        for end in range(at, len(data)):
-            node = child.get(node << 8 | data[end])
-            if node is None:
-                break
-            if (token := token_of[node]) is not None:
-                found.append((end + 1, token))
-        return found
+    def follow(self, open_at: list[tuple[State, bytes]]) -> tuple[list[int], list[bytes]]:
+        """Of each state and all that follows it (not empty): the reading that holds, and its further tokens as packed ids.
 
-    def finish(self, state: State, data: bytes) -> list[int]:
-        """The tokens not emitted yet, if ``data`` (not empty) is all that follows.  Makes no states.
-
-        Follows one reading at a time, the longest tokens first.  Only one reading ends at each byte,
-        so a place that was left without success is not entered again.
-        """
-        pairs, final = self.pairs, len(data)
-        entered = bytearray(final + 1)
-        for tokens, node in state.readings:
-            out, path = [], [(tokens[-1] if tokens else state.last, self.options(node, data, 0))]
-            while path:
-                left, options = path[-1]
-                while options:
-                    end, token = options.pop()
-                    if entered[end]:
-                        continue
-                    fits = pairs.get(-token - 1 if left is None else left << 32 | token)
-                    if self.stand(left, token) if fits is None else fits:
-                        out.append(token)
-                        if end == final:
-                            return [*tokens, *out]
-                        entered[end] = 1
-                        path.append((token, self.options(0, data, end)))
-                        break
-                else:
-                    path.pop()
-                    del out[-1:]
-        raise ValueError("a byte without a token")
-
-    def encode(self, piece: bytes, short: int = 64) -> list[int]:
-        """A move is made when it is needed for the second time; the first time, the rest of a short piece is followed without it.
-
-        Most pieces are rare, so most of their moves would never be used again.
+        Makes no states.  A place is a boundary of bytes or a reading that is inside a token.  Only one reading ends at each
+        boundary, so its last token and the place where that token begins tell all; the boundaries of all texts that are equally far
+        from their states are settled together.
         """
+        sizes = np.array([len(data) for _, data in open_at])
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        signs = np.empty(ends[-1] + 1, np.int16)
+        inside = np.ones(len(signs), bool)
+        inside[ends] = False
+        signs[inside] = np.frombuffer(b"".join([data for _, data in open_at]), np.uint8)
+        signs[ends] = Trie.END
+        # the last reading of a state is at a boundary, the others have places of their own after all boundaries
+        counts = np.array([len(state.nodes) for state, _ in open_at])
+        nodes = np.array([node for state, _ in open_at for node in state.nodes], np.int32)
+        lefts = np.array([left for state, _ in open_at for left in state.lefts], np.int64)
+        final = np.cumsum(counts) - 1
+        other = np.ones(len(nodes), bool)
+        other[final] = False
+        owner = np.repeat(np.arange(len(counts)), counts)[other]
+        boundaries = np.flatnonzero(inside)
+        far = (np.arange(len(signs)) - np.repeat(starts, sizes + 1))[inside]
+        place, upto, token = self.trie.tokens(
+            np.concatenate([boundaries, len(signs) + np.arange(len(owner))]),
+            np.concatenate([boundaries, starts[owner]]),
+            np.concatenate([np.zeros(len(boundaries), np.int32), nodes[other]]),
+            signs,
+        )
+        level = np.zeros(len(signs) + len(owner), np.int32)
+        level[boundaries] = far
+        last = np.full(len(level), -1, np.int64)
+        last[starts], last[len(signs) :] = lefts[final], lefts[other]
+        back = np.full(len(level), -1, np.int64)
+        order = np.argsort(level[place], kind="stable")
+        place, upto, token = place[order], upto[order], token[order]
+        cuts = np.searchsorted(level[place], np.arange(level.max() + 2))
+        for low, high in zip(cuts, cuts[1:]):
+            left, right = last[place[low:high]], token[low:high]
+            fit = np.flatnonzero(self.fits(left, right))
+            last[upto[low:high][fit]], back[upto[low:high][fit]] = right[fit], place[low:high][fit]
+        if (back[ends] < 0).any():
+            raise ValueError("a byte without a token")
+        taken, at, live = np.zeros(len(signs), bool), ends.copy(), np.arange(len(ends))
+        while len(live):
+            taken[at[live]] = True
+            at[live] = back[at[live]]
+            live = live[back[at[live]] >= 0]
+        ids = last[: len(signs)][taken].astype("<i4").tobytes()
+        upto_piece = (4 * np.cumsum(taken)[ends]).tolist()
+        reading = counts - 1
+        virtual = np.flatnonzero(at >= len(signs))
+        ranks_of_other = np.flatnonzero(other) - (final - counts + 1)[owner]
+        reading[virtual] = ranks_of_other[at[virtual] - len(signs)]
+        return reading.tolist(), [ids[low:high] for low, high in zip([0, *upto_piece], upto_piece)]
+
+    def walk(self, piece: bytes, short: int) -> tuple[list[int], State, int]:
+        """The moves that are made: the tokens emitted, the state, and where the bytes begin that are left to follow."""
         if len(self.states) + self.first / 4 > self.max_states:
             self.reset()
         state, out, final = self.start, [], len(piece) - 1
         for at, byte in enumerate(piece):
             step = state.get(byte, 0)
-            if not step:
-                if at == final or step == 0 and final - at < short:
-                    if step == 0:
-                        self.first += 1
-                        state[byte] = None
-                    return out + self.finish(state, piece[at:])
+            if type(step) is int:
+                if at == final:
+                    return out, state, at
+                if final - at < short and step + 1 < self.needs:
+                    self.first += not step
+                    state[byte] = step + 1
+                    return out, state, at
+                self.first -= step > 0
                 step = self.move(state, byte)
             emitted, state = step
             if emitted:
                 out += emitted
-        return [*out, *state.readings[-1][0]] if piece else out
+        return out, state, len(piece)
+
+    def encode(self, pieces: list[bytes], short: int = 64, step_bytes: int = 1 << 17) -> list[bytes]:
+        """The packed ids of pieces.  What is left of pieces that met a move not made yet is followed in steps of about ``step_bytes``."""
+        found, opened, open_at, size = [], [], [], 0
+
+        def close():
+            for (i, out), (state, _), reading, ids in zip(opened, open_at, *self.follow(open_at)):
+                tokens = state.readings[reading][0]
+                found[i] = (pack(f"<{len(out) + len(tokens)}i", *out, *tokens) if out or tokens else b"") + ids
+            opened.clear(), open_at.clear()
+
+        for piece in pieces:
+            out, state, at = self.walk(piece, short)
+            if at < len(piece):
+                opened.append((len(found), out))
+                open_at.append((state, piece[at:]))
+                found.append(b"")
+                size += len(piece) - at
+                if size >= step_bytes:
+                    close()
+                    size = 0
+            else:
+                out += state.readings[-1][0] if piece else ()
+                found.append(pack(f"<{len(out)}i", *out))
+        if open_at:
+            close()
+        return found
+
+
+class Trie:
+    """The trie of tokens in arrays: nodes with one move hold it, the others have a row of moves.  Node 0 is the root; a move to it is none."""
+
+    END = 256  # the sign after a text
+
+    def __init__(self, child: dict[int, int], token: list[int | None]):
+        edges, to = np.fromiter(child, np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child))
+        moves = np.bincount(edges >> 8, minlength=len(token))
+        one, many = (moves == 1)[edges >> 8], (moves > 1)[edges >> 8]
+        self.sign, self.only = np.full(len(token), -1, np.int16), np.zeros(len(token), np.int32)
+        self.sign[edges[one] >> 8], self.only[edges[one] >> 8] = edges[one] & 255, to[one]
+        self.row = np.where(moves > 1, np.cumsum(moves > 1), 0).astype(np.int32)
+        self.next = np.zeros((1 + self.row.max(), 257), np.int32)
+        self.next[self.row[edges[many] >> 8], edges[many] & 255] = to[many]
+        self.token = np.array([-1 if t is None else t for t in token], np.int32)
+
+    def tokens(self, place: np.ndarray, at: np.ndarray, node: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, end, token) of all tokens that the readings of the places, which go on with the sign ``at``, can end with."""
+        found = []
+        while len(place):
+            sign = signs[at]
+            node = np.where(self.sign[node] == sign, self.only[node], self.next[self.row[node], sign])
+            on = np.flatnonzero(node)
+            place, at, node = place[on], at[on] + 1, node[on]
+            token = self.token[node]
+            on = np.flatnonzero(token >= 0)
+            found.append((place[on], at[on], token[on]))
+        return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+class Fits:
+    """``Transducer.stand`` for arrays of pairs; the left token may be the number of tokens for none.
+
+    Answers are kept in a table of fixed size, where a pair takes the place of another one with the same hash.
+    """
+
+    def __init__(self, transducer: Transducer, bits: int = 20):
+        self.spines, self.ranks = transducer.spines, transducer.ranks
+        self.never, self.shift = len(self.ranks), np.uint64(64 - bits)
+        self.kept = np.full(1 << bits, -1, np.int64)  # 2 * pair + answer
+        joined = [
+            (left * (self.never + 1) + right, rank)
+            for whole, rank in self.ranks.items()
+            for i in range(1, len(whole))
+            if (left := self.ranks.get(whole[:i])) is not None and (right := self.ranks.get(whole[i:])) is not None
+        ]
+        pairs, due = np.array(joined, np.int64).reshape(-1, 2).T
+        order = np.argsort(pairs)
+        self.pairs, self.due = pairs[order], due[order]
+        #: 0: not looked at, 1: has spines, 2: the merges never make it
+        self.made = np.zeros(self.never + 1, np.int8)
+        self.parts = np.zeros((2, self.never, 8), np.int32)  # by side, token, depth: the part, and the rank that ends it
+        self.until = np.zeros((2, self.never, 8), np.int32)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * (self.never + 1) + right
+        place = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        kept = self.kept[place]
+        answer = (kept & 1).astype(bool)
+        new = np.flatnonzero(kept >> 1 != pair)
+        if len(new):
+            different, one, which = np.unique(pair[new], return_index=True, return_inverse=True)
+            fit = self.apart(*np.divmod(different, self.never + 1))
+            answer[new] = fit[which]
+            self.kept[place[new][one]] = 2 * different + fit
+        return answer
+
+    def look(self, tokens: np.ndarray) -> None:
+        for token in np.unique(tokens[self.made[tokens] == 0]).tolist():
+            spines = self.spines(token) if token < self.never else None
+            self.made[token] = 1 if spines else 2
+            if spines:
+                deepest = max(map(len, spines))
+                while deepest > self.parts.shape[2]:
+                    self.parts, self.until = (np.concatenate([x, np.zeros_like(x)], axis=2) for x in (self.parts, self.until))
+                for side, spine in enumerate(spines):
+                    self.parts[side, token, : len(spine)] = [self.ranks[part] for part, _ in spine]
+                    self.until[side, token, : len(spine)] = [until for _, until in spine]
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The answers by ``Transducer.apart``, step by step for all pairs."""
+        self.look(np.concatenate([left, right]))
+        answer = self.made[right] == 1
+        # readings hold only tokens that the merges make, so a left token without spines is none
+        open_ = np.flatnonzero(answer & (self.made[left] == 1))
+        left, right = left[open_], right[open_]
+        i, j = np.zeros(len(open_), np.int64), np.zeros(len(open_), np.int64)
+        while len(open_):
+            until_a, until_b = self.until[1, left, i], self.until[0, right, j]
+            pair = self.parts[1, left, i].astype(np.int64) * (self.never + 1) + self.parts[0, right, j]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            due = np.where(self.pairs[at] == pair, self.due[at], self.never)
+            clash = (due < until_a) & (due <= until_b)
+            answer[open_[clash]] = False
+            go = np.flatnonzero(~clash & ((until_a < self.never) | (until_b < self.never)))
+            first = (until_a <= until_b)[go]
+            open_, left, right, i, j = open_[go], left[go], right[go], i[go] + first, j[go] + ~first
+        return answer
 
 
 class Encoder:
@@ -240,24 +393,30 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        pieces = self.pattern.findall(text)
-        out = list(map(self.known.get, pieces))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = self.known.get(pieces[i]) or self.learn(pieces[i])
-        return b"".join(out)
-
-    def learn(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            found = self.transducer.encode(piece.encode())
-            ids = pack(f"<{len(found)}i", *found)
-        if len(piece) <= 64:
-            if 2 * len(self.known) >= self.memory:
-                self.older, self.known = self.known, {}
-            self.known[piece] = ids
-        return ids
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; the pieces that are new in them are encoded together."""
+        pieces = [self.pattern.findall(text) for text in texts]
+        out = [list(map(self.known.get, found)) for found in pieces]
+        holes = [k for k, ids in enumerate(out) if None in ids]
+        new = self.learn(dict.fromkeys([p for k in holes for p, ids in zip(pieces[k], out[k]) if ids is None]))
+        for k in holes:
+            out[k] = [new[p] if ids is None else ids for p, ids in zip(pieces[k], out[k])]
+        return [b"".join(ids) for ids in out]
+
+    def learn(self, new: dict[str, bytes | None]) -> dict[str, bytes]:
+        """Fills in and remembers the ids of pieces that are not in the memory's newer half."""
+        for piece in new:
+            new[piece] = self.older.get(piece)
+        unknown = [piece for piece, ids in new.items() if ids is None]
+        new.update(zip(unknown, self.transducer.encode([piece.encode() for piece in unknown])))
+        for piece, ids in new.items():
+            if len(piece) <= 64:
+                if 2 * len(self.known) >= self.memory:
+                    self.older, self.known = self.known, {}
+                self.known[piece] = ids
+        return new
 
 
 # first byte of a sequence: bytes that follow, and the range of the second byte
@@ -283,11 +442,15 @@ def utf8_step(pending: bytes, byte: int) -> tuple[str, bytes]:
 
 
 class Decoder:
-    """Ids to text, token by token; the moves of the UTF-8 machine over whole tokens are kept once made."""
+    """Ids to text, token by token; the moves of the UTF-8 machine over whole tokens are kept once made.
+
+    ``whole`` has the texts of the moves that lead from the start back to it; a list of such tokens only is looked up at once.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.states: dict[bytes, dict] = {b"": {}}
+        self.whole: dict[int, str] = {}
 
     def move(self, pending: bytes, token: int) -> tuple[str, dict, bytes]:
         text, state = [], pending
@@ -295,6 +458,8 @@ class Decoder:
             said, state = utf8_step(state, byte)
             text.append(said)
         step = self.states[pending][token] = ("".join(text), self.states.setdefault(state, {}), state)
+        if not pending and not state:
+            self.whole[token] = step[0]
         return step
 
     def stream(self, ids) -> Iterator[str]:
@@ -305,6 +470,10 @@ class Decoder:
         if pending:
             yield "�"
 
+    def decode(self, ids: list[int]) -> str:
+        texts = list(map(self.whole.get, ids))
+        return "".join(self.stream(ids) if None in texts else texts)
+
 
 #: Encoders and decoders of this worker by their parameters; a worker runs many tasks, and their states and pieces serve all of them.
 _MADE: dict[tuple, Encoder | Decoder] = {}
@@ -331,7 +500,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str = public_tokenize
         encoder = made(Encoder, vocabulary, pattern)
         gc.set_threshold(1_000_000)  # hundreds of thousands of lasting states make frequent collections dear
         for rows, texts in text_steps(batches):
-            packed = [encoder.encode(t.decode()) for t in texts]
+            packed = encoder.encode_all([t.decode() for t in texts])
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
             yield rows_of(IDS, rows.column(0).cast(pa.int64()), ids)
@@ -347,7 +516,7 @@ def decode(encoded: DataFrame, vocabulary: str, step_rows: int = 200) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, step_rows):
                 rows = batch.slice(at, step_rows)
-                texts = ["".join(decoder.stream(ids.values.to_pylist() if ids.is_valid else ())) for ids in rows.column(1)]
+                texts = [decoder.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in rows.column(1)]
                 yield rows_of(TEXTS, rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.list_(pa.int32())), texts)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
