@@ -252,7 +252,7 @@ class Transducer:
                 out += emitted
         return out, state, len(piece)
 
-    def encode(self, pieces: list[bytes], short: int = 64, step_bytes: int = 1 << 17) -> list[bytes]:
+    def encode(self, pieces: list[bytes], short: int = 64, step_bytes: int = 1 << 15) -> list[bytes]:
         """The packed ids of pieces.  What is left of pieces that met a move not made yet is followed in steps of about ``step_bytes``."""
         found, opened, open_at, size = [], [], [], 0
 
@@ -444,7 +444,7 @@ def utf8_step(pending: bytes, byte: int) -> tuple[str, bytes]:
 class Decoder:
     """Ids to text, token by token; the moves of the UTF-8 machine over whole tokens are kept once made.
 
-    ``whole`` has the texts of the moves that lead from the start back to it; a list of such tokens only is looked up at once.
+    ``whole`` has the texts of the moves that lead from the start back to it; such tokens are looked up all at once.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -471,8 +471,16 @@ class Decoder:
             yield "�"
 
     def decode(self, ids: list[int]) -> str:
-        texts = list(map(self.whole.get, ids))
-        return "".join(self.stream(ids) if None in texts else texts)
+        texts = [*map(self.whole.get, ids), None]
+        state, pending, at = self.states[b""], b"", texts.index(None)
+        while at < len(ids):  # the machine goes from a token that is not whole until it is back at the start
+            for at in range(at, len(ids)):
+                texts[at], state, pending = state.get(ids[at]) or self.move(pending, ids[at])
+                if not pending:
+                    break
+            at = texts.index(None, at + 1)
+        texts[-1] = "�" if pending else ""
+        return "".join(texts)
 
 
 #: Encoders and decoders of this worker by their parameters; a worker runs many tasks, and their states and pieces serve all of them.
