@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterator
+from itertools import chain, islice
 from struct import pack
 
 import numpy as np
@@ -51,13 +52,17 @@ def merge(data: bytes, ranks: dict[bytes, int], below: int | None = None) -> lis
     return [ranks[p] for p in parts]
 
 
+def packed(tokens: tuple) -> bytes:
+    return pack(f"<{len(tokens)}i", *tokens)
+
+
 class State(dict):
-    """Moves by byte, each (emitted tokens, next state), or how often it was needed; ``last`` is the last emitted token.
+    """Moves by byte, each (emitted tokens, packed; next state), or how often it was needed; ``last`` is the last emitted token.
 
-    ``nodes`` and ``lefts`` are the readings' places in the trie and last tokens, as ``follow`` takes them.
+    ``heads``, ``nodes`` and ``lefts`` are the readings' packed tokens, places in the trie and last tokens, as ``follow`` takes them.
     """
 
-    __slots__ = ("last", "readings", "nodes", "lefts")
+    __slots__ = ("last", "readings", "heads", "nodes", "lefts")
 
 
 class Transducer:
@@ -96,6 +101,7 @@ class Transducer:
             none = len(self.ranks)
             lefts = [tokens[-1] if tokens else last for tokens, _ in readings]
             made.nodes, made.lefts = [node for _, node in readings], [none if left is None else left for left in lefts]
+            made.heads = [packed(tokens) for tokens, _ in readings]
         return self.states[key]
 
     def spines(self, token: int) -> tuple[list, list] | None:
@@ -148,7 +154,7 @@ class Transducer:
             else:
                 j += 1
 
-    def move(self, state: State, byte: int) -> tuple[tuple, State]:
+    def move(self, state: State, byte: int) -> tuple[bytes, State]:
         readings, upto_here, last = [], None, state.last
         child, token_of, pairs = self.child, self.token, self.pairs
         for tokens, node in state.readings:
@@ -170,7 +176,7 @@ class Transducer:
         if sure:
             last = upto_here[sure - 1]
             readings = [(t[sure:], node) for t, node in readings]
-        step = state[byte] = (upto_here[:sure], self.state(last, tuple(readings)))
+        step = state[byte] = (packed(upto_here[:sure]), self.state(last, tuple(readings)))
         return step
 
     def follow(self, open_at: list[tuple[State, bytes]]) -> tuple[list[int], list[bytes]]:
@@ -190,8 +196,8 @@ class Transducer:
         signs[ends] = Trie.END
         # the last reading of a state is at a boundary, the others have places of their own after all boundaries
         counts = np.array([len(state.nodes) for state, _ in open_at])
-        nodes = np.array([node for state, _ in open_at for node in state.nodes], np.int32)
-        lefts = np.array([left for state, _ in open_at for left in state.lefts], np.int64)
+        nodes = np.fromiter(chain.from_iterable([state.nodes for state, _ in open_at]), np.int32)
+        lefts = np.fromiter(chain.from_iterable([state.lefts for state, _ in open_at]), np.int64)
         final = np.cumsum(counts) - 1
         other = np.ones(len(nodes), bool)
         other[final] = False
@@ -204,14 +210,14 @@ class Transducer:
             np.concatenate([np.zeros(len(boundaries), np.int32), nodes[other]]),
             signs,
         )
-        level = np.zeros(len(signs) + len(owner), np.int32)
+        level = np.zeros(len(signs) + len(owner), np.min_scalar_type(sizes.max()))  # short numbers sort fastest
         level[boundaries] = far
         last = np.full(len(level), -1, np.int64)
         last[starts], last[len(signs) :] = lefts[final], lefts[other]
         back = np.full(len(level), -1, np.int64)
         order = np.argsort(level[place], kind="stable")
         place, upto, token = place[order], upto[order], token[order]
-        cuts = np.searchsorted(level[place], np.arange(level.max() + 2))
+        cuts = np.cumsum([0, *np.bincount(level[place])])
         for low, high in zip(cuts, cuts[1:]):
             left, right = last[place[low:high]], token[low:high]
             fit = np.flatnonzero(self.fits(left, right))
@@ -231,11 +237,11 @@ class Transducer:
         reading[virtual] = ranks_of_other[at[virtual] - len(signs)]
         return reading.tolist(), [ids[low:high] for low, high in zip([0, *upto_piece], upto_piece)]
 
-    def walk(self, piece: bytes, short: int) -> tuple[list[int], State, int]:
+    def walk(self, piece: bytes, short: int) -> tuple[bytes, State, int]:
         """The moves that are made: the tokens emitted, the state, and where the bytes begin that are left to follow."""
         if len(self.states) + self.first / 4 > self.max_states:
             self.reset()
-        state, out, final = self.start, [], len(piece) - 1
+        state, out, final = self.start, b"", len(piece) - 1
         for at, byte in enumerate(piece):
             step = state.get(byte, 0)
             if type(step) is int:
@@ -258,8 +264,7 @@ class Transducer:
 
         def close():
             for (i, out), (state, _), reading, ids in zip(opened, open_at, *self.follow(open_at)):
-                tokens = state.readings[reading][0]
-                found[i] = (pack(f"<{len(out) + len(tokens)}i", *out, *tokens) if out or tokens else b"") + ids
+                found[i] = out + state.heads[reading] + ids
             opened.clear(), open_at.clear()
 
         for piece in pieces:
@@ -273,8 +278,7 @@ class Transducer:
                     close()
                     size = 0
             else:
-                out += state.readings[-1][0] if piece else ()
-                found.append(pack(f"<{len(out)}i", *out))
+                found.append(out + state.heads[-1] if piece else out)
         if open_at:
             close()
         return found
@@ -383,7 +387,7 @@ class Fits:
 class Encoder:
     """Texts to ids; remembers the ids of at most ``memory`` pieces of at most 64 characters.
 
-    The memory has two halves.  When the newer one is full it takes the older one's place; a piece that is met in the older one moves over.
+    The memory has two halves.  When the newer one has no room it takes the older one's place; a piece that is met in the older one moves over.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
@@ -396,26 +400,23 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text; the pieces that are new in them are encoded together."""
+        """The ids of every text; each different piece is looked up once, and the new ones are encoded together."""
         pieces = [self.pattern.findall(text) for text in texts]
-        out = [list(map(self.known.get, found)) for found in pieces]
-        holes = [k for k, ids in enumerate(out) if None in ids]
-        new = self.learn(dict.fromkeys([p for k in holes for p, ids in zip(pieces[k], out[k]) if ids is None]))
-        for k in holes:
-            out[k] = [new[p] if ids is None else ids for p, ids in zip(pieces[k], out[k])]
-        return [b"".join(ids) for ids in out]
-
-    def learn(self, new: dict[str, bytes | None]) -> dict[str, bytes]:
-        """Fills in and remembers the ids of pieces that are not in the memory's newer half."""
-        for piece in new:
-            new[piece] = self.older.get(piece)
+        ids = dict.fromkeys(chain.from_iterable(pieces))
+        ids.update(zip(ids, list(map(self.known.get, ids))))
+        ids.update(self.learn([piece for piece, found in ids.items() if found is None]))
+        return [b"".join(map(ids.__getitem__, found)) for found in pieces]
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of different pieces that are not in the memory's newer half, which takes them in."""
+        new = dict(zip(pieces, map(self.older.get, pieces)))
         unknown = [piece for piece, ids in new.items() if ids is None]
         new.update(zip(unknown, self.transducer.encode([piece.encode() for piece in unknown])))
-        for piece, ids in new.items():
-            if len(piece) <= 64:
-                if 2 * len(self.known) >= self.memory:
-                    self.older, self.known = self.known, {}
-                self.known[piece] = ids
+        half = self.memory // 2
+        kept = dict(islice(((piece, ids) for piece, ids in new.items() if len(piece) <= 64), half))
+        if len(self.known) + len(kept) > half:
+            self.older, self.known = self.known, {}
+        self.known.update(kept)
         return new
 
 
@@ -508,9 +509,9 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str = public_tokenize
         encoder = made(Encoder, vocabulary, pattern)
         gc.set_threshold(1_000_000)  # hundreds of thousands of lasting states make frequent collections dear
         for rows, texts in text_steps(batches):
-            packed = encoder.encode_all([t.decode() for t in texts])
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            ids_of = encoder.encode_all([t.decode() for t in texts])
+            ends = np.cumsum([0, *(len(p) // 4 for p in ids_of)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_of), dtype="<i4")))
             yield rows_of(IDS, rows.column(0).cast(pa.int64()), ids)
 
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
