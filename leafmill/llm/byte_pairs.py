@@ -220,7 +220,7 @@ class Transducer:
         cuts = np.cumsum([0, *np.bincount(level[place])])
         for low, high in zip(cuts, cuts[1:]):
             left, right = last[place[low:high]], token[low:high]
-            fit = np.flatnonzero(self.fits(left, right))
+            fit = np.flatnonzero(self.fits(left, right) & (left >= 0))  # no reading ends at a place without a last token
             last[upto[low:high][fit]], back[upto[low:high][fit]] = right[fit], place[low:high][fit]
         if (back[ends] < 0).any():
             raise ValueError("a byte without a token")
@@ -330,7 +330,7 @@ class Fits:
             for i in range(1, len(whole))
             if (left := self.ranks.get(whole[:i])) is not None and (right := self.ranks.get(whole[i:])) is not None
         ]
-        pairs, due = np.array(joined, np.int64).reshape(-1, 2).T
+        pairs, due = np.array([(-1, self.never), *joined], np.int64).T
         order = np.argsort(pairs)
         self.pairs, self.due = pairs[order], due[order]
         #: 0: not looked at, 1: has spines, 2: the merges never make it

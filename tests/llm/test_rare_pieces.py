@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from leafmill.llm import byte_pairs as B
@@ -67,3 +68,14 @@ def test_decoded_at_once_equals_the_stream():
         assert decoder.decode(broken) == b"".join(map(decoder.bytes_of.get, broken)).decode(errors="replace")
     assert decoder.decode([]) == ""
     assert all(decoder.bytes_of[i].decode(errors="replace") == t for i, t in decoder.whole.items())
+
+
+def test_vocabularies_without_merges_or_without_a_byte():
+    bare = {bytes([b]): b for b in range(256)}
+    assert ids_of(B.Encoder(bare, P.PATTERN).encode_all(["some é", "so"])) == [[*"some é".encode()], [*b"so"]]
+    lacking = {bytes([b]): b for b in range(122)} | {b"ab": 122}
+    encoder = B.Encoder(lacking, P.PATTERN)
+    assert ids_of(encoder.encode_all(["abab a"])) == [[122, 122, 32, 97]]
+    for text in ("zab", "abzab", "abz"):
+        with pytest.raises(ValueError, match="without a token"):
+            encoder.encode_all([text])
