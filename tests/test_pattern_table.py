@@ -116,3 +116,25 @@ def test_texts_without_inner_words_meet_documents(spark, make_files):
     assert sorted(got) == sorted((i, path) for i, n in needles for path, text in texts.items() if n in text)
     only = spark.createDataFrame([(1, "字\nx")], "needle_id long, needle string")
     assert values(containing_documents(files, only), "needle_id", "path") == [(1, "/b")]
+
+
+def test_passes_and_batches_find_the_same(spark, make_files, monkeypatch):
+    """Neither the number of passes over the documents nor the size of a step changes what is found, and nothing is moved."""
+    monkeypatch.setattr(PT, "PASS_KEYS", 20, raising=False)
+    monkeypatch.setattr(PT, "MOST_KEYS", 5)
+    monkeypatch.setattr(PT, "_BYTES_AT_ONCE", 64, raising=False)
+    monkeypatch.setattr(PT, "_HITS_AT_ONCE", 7, raising=False)
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abÄ ſ漢1.") for _ in range(n))
+    contents = {f"/d{i}": "\n".join(text(draw.randrange(30)) for _ in range(5)) for i in range(30)} | {"/e": "", "/f": "\n\n" + "ab" * 300}
+    patterns = [(text(draw.randrange(1, 11)), False, draw.random() < 0.5, False, False, None) for _ in range(90)]
+    patterns += [("ab" * n, False, False, False, False, None) for n in (4, 5, 40, 300)] + [("a\nb", False, False, False, False, None)]
+    files = make_files(contents).unionByName(make_files({"/none": "x"}).selectExpr("path", "title", "CAST(NULL AS string) AS content", "size", "mtime", "content_hash", "revision"))
+    found_by = PT.grep_table(files, spark.createDataFrame(patterns, SCHEMA))
+    rows = values(found_by, "pattern", *PT.FLAGS, "path", "line")
+    assert set(rows) == model(contents, patterns) and len(rows) == len(set(rows))
+    assert "Exchange" not in found_by._jdf.queryExecution().optimizedPlan().toString()
+    plan = found_by._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan and "hashpartitioning(gram" not in plan
+    texts = {(r.path, r.line): r.text for r in found_by.collect()}
+    assert all(contents[path].split("\n")[line - 1] == line_text for (path, line), line_text in texts.items())
