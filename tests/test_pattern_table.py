@@ -138,3 +138,13 @@ def test_passes_and_batches_find_the_same(spark, make_files, monkeypatch):
     assert "hashpartitioning(path" not in plan and "hashpartitioning(gram" not in plan
     texts = {(r.path, r.line): r.text for r in found_by.collect()}
     assert all(contents[path].split("\n")[line - 1] == line_text for (path, line), line_text in texts.items())
+
+
+def test_a_check_that_passed_is_not_looked_for_again(spark, make_files, monkeypatch):
+    files = make_files({f"/d{i}": f"always here\nrare{i} word" for i in range(150)})
+    asked, of = [], PT.grep_table
+    monkeypatch.setattr(PT, "grep_table", lambda part, patterns, **o: asked.append((part.count(), patterns.distinct().count())) or of(part, patterns, **o))
+    rows = [("a", "^always"), ("b", "rare77 w"), ("c", "here$"), ("d", "absent"), ("e", "^r.*[0-9]+ ")]
+    checks = spark.createDataFrame(rows, "label string, pattern string")
+    assert sorted(values(PT.check_table(files, checks), "label", "status")) == [("a", "PASS"), ("b", "PASS"), ("c", "PASS"), ("d", "FAIL"), ("e", "PASS")]
+    assert sum(n for n, _ in asked) == 150 and asked[0][1] == 5 and asked[-1][1] <= 2
