@@ -10,6 +10,8 @@ PASSAGE_LENGTH = 480
 LABEL_LENGTH = 40
 
 _HAN = r"\p{IsHan}"
+# All characters from the first Han one on.
+_MAYBE_HAN = r"[\x{2E80}-\x{10FFFF}]"
 _RUNS = r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
 _BETWEEN_WORDS = r"[^\p{L}\p{Nd}]+"
 _OTHER = r"[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
@@ -100,7 +102,8 @@ def bag_of_lower(folded: Column | str) -> Column:
         F.regexp_extract_all(folded, F.lit(pattern), F.lit(group))
         for pattern, group in ((_OTHER, 0), (_HAN, 0), (_HAN_PAIR, 1))
     ]
-    return F.when(folded.rlike(_HAN), F.concat(*found)).otherwise(_words(folded))
+    # the script of a character is looked up only in texts with characters that may be Han
+    return F.when(folded.rlike(_MAYBE_HAN) & folded.rlike(_HAN), F.concat(*found)).otherwise(_words(folded))
 
 
 def query_terms(query: Column | str, limit: int | None = None) -> Column:

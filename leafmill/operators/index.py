@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from .errors import InvalidParameter
 INDEX_BUCKETS = 256
 # Rows of one file of a stored index.
 FILE_ROWS = 1_000_000
+# Lexemes that are counted in one step.
+LEXEMES_AT_ONCE = 200_000
 # Lexemes that the frequency sketch follows, and the most frequent ones that it names.
 LEXEMES_TRACKED, LEXEMES_NAMED = 50_000, 2000
 
@@ -32,16 +39,32 @@ def _count_rows(rows: DataFrame, text: Column, language: str, source: str, kind:
 
     Each step is its own column, so that it is computed once per row.
     """
-    return (
+    held = (
         rows.select("path", kind.alias("kind"), text.alias("_text"))
         .select("path", "kind", X.lower("_text").alias("_low"))
-        .select("path", "kind", F.sort_array(lexemes(X.bag_of_lower("_low"), language)).alias("_sorted"))
-        .select("path", "kind", "_sorted", X.run_starts("_sorted").alias("_starts"))
-        .select("path", "kind", F.inline(X.run_lengths("_sorted", "_starts")))
-        .select("path", F.lit(source).alias("source"), "kind", "lexeme", "tf")
+        .select("path", "kind", lexemes(X.bag_of_lower("_low"), language).alias("lexemes"))
+        .filter("lexemes IS NOT NULL")
+    )
+    return held.mapInArrow(_count_lexemes, "path string, kind string, lexeme string, tf int").select(
+        "path", F.lit(source).alias("source"), "kind", "lexeme", "tf"
     )
 
 
+def _count_lexemes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (path, kind, lexemes) to (path, kind, lexeme, tf), several rows at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch["lexemes"]).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // LEXEMES_AT_ONCE)) + 1).tolist(), batch.num_rows]
+        for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+            coded = part["lexemes"].flatten().dictionary_encode()
+            size = max(len(coded.dictionary), 1)
+            pairs = pc.list_parent_indices(part["lexemes"]).to_numpy().astype(np.int64) * size + coded.indices.to_numpy()
+            pairs, counts = np.unique(pairs, return_counts=True)
+            row, lexeme = pa.array(pairs // size), pa.array(pairs % size)
+            columns = [part["path"].take(row), part["kind"].take(row), coded.dictionary.take(lexeme), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "kind", "lexeme", "tf"])
+
+
 def text_postings(files: DataFrame, language: str) -> DataFrame:
     parsed = H.parse_headers(files.select("path", "content"))
     return _count_rows(parsed, index_text(parsed), language, "text", F.lit("file"))
